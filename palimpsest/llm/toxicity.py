@@ -37,51 +37,60 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
 class NoisyOr:
     """P(document) = 1 - product over sentences of (1 - sigmoid(bias + sum of word weights)).
 
-    The document's label is the only supervision: the gradient reaches each sentence by its share in the noisy-or.
+    The document's label is the only supervision: the gradient reaches each sentence by its share in the noisy-or. Only
+    features that at least ``support`` toxic documents hold, and that are surely commoner there (log-odds less two
+    standard errors above ``margin``), get a weight; so a few wrong labels teach nothing about rare words.
     """
 
-    def __init__(self, seed: int = 3, epochs: int = 6, rate: float = 0.5, decay: float = 2e-4):
-        self.weights, self.bias = np.zeros(1 << BITS), -5.0
-        self.seed, self.epochs, self.rate, self.decay = seed, epochs, rate, decay
+    def __init__(self, seed: int = 3, epochs: int = 10, rate: float = 0.3, decay: float = 1e-4, support: int = 3, margin: float = 1.5):
+        self.weights, self.bias = np.zeros(1 << BITS), -6.0
+        self.seed, self.epochs, self.rate, self.decay, self.support, self.margin = seed, epochs, rate, decay, support, margin
 
     def fit(self, rows: list[tuple[str, int]]) -> NoisyOr:
         """Adagrad over documents in a seeded order; classes weigh alike. Without both classes the weights stay zero."""
-        if len({y for _, y in rows}) < 2:
+        positives = sum(y for _, y in rows)
+        if not 0 < positives < len(rows):
             return self
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, list[int]] = {}
+        split = [([set(text[s:e].split()) for s, e in sentences_of(text)], y) for text, y in rows]
+        seen_in = np.zeros((2, 1 << BITS))
+        for sentences, y in split:
+            held = set()
+            for w in set().union(*sentences):
+                if w not in known:
+                    known[w] = features_of(w)
+                held.update(known[w])
+            seen_in[y, list(held)] += 1
+        pos, neg = seen_in[1], seen_in[0]
+        odds = np.log((pos + 0.5) / (positives - pos + 0.5)) - np.log((neg + 0.5) / (len(rows) - positives - neg + 0.5))
+        sure = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+        used = (pos >= self.support) & (sure > self.margin)
+        self.weights = np.where(used, odds, 0.0)
+        keep = {w: [f for f in fs if used[f]] for w, fs in known.items()}
+        share = {1: len(rows) / (2 * positives), 0: len(rows) / (2 * (len(rows) - positives))}
         bags = []
-        for text, y in rows:
-            ids, at = [], []
-            for k, (s, e) in enumerate(sentences_of(text)):
-                for w in set(text[s:e].split()):
-                    if (f := known.get(w)) is None:
-                        f = known[w] = np.array(features_of(w), dtype=np.int64)
-                    ids.append(f)
-                    at.append(np.full(len(f), k))
-            bags.append((np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(at) if at else np.zeros(0, np.int64), y))
-        positives = sum(y for *_, y in bags)
-        share = {1: len(bags) / (2 * positives), 0: len(bags) / (2 * (len(bags) - positives))}
-        seen, seen_bias = np.full(1 << BITS, 1e-2), 1e-2
+        for sentences, y in split:
+            pairs = [(f, k) for k, words in enumerate(sentences) for w in words for f in keep[w]]
+            ids, at = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            bags.append((ids, at, len(sentences), y))
+        squares, square = np.full(1 << BITS, 1e-1), 1e-1
         order = np.random.default_rng(self.seed)
         for _ in range(self.epochs):
             for i in order.permutation(len(bags)):
-                ids, at, y = bags[i]
-                if not len(ids):
+                ids, at, n, y = bags[i]
+                if not n:
                     continue
-                n = int(at[-1]) + 1
-                z = np.clip(self.bias + np.bincount(at, self.weights[ids], n), -30, 30)
-                p = 1 / (1 + np.exp(-z))
+                p = 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(at, self.weights[ids], n), -30, 30)))
                 clean = np.exp(np.log1p(-p).sum())
-                grad = p * (share[0] if y == 0 else -share[1] * clean / max(1 - clean, 1e-9))
-                g = grad[at]
-                total = np.bincount(np.unique(ids, return_inverse=True)[1], g)
-                u = np.unique(ids)
-                total += self.decay * self.weights[u]
-                seen[u] += total * total
-                self.weights[u] -= self.rate * total / np.sqrt(seen[u])
+                grad = p * (share[0] if y == 0 else -share[1] * clean / max(1 - clean, 0.05))
+                if len(ids):
+                    u, back = np.unique(ids, return_inverse=True)
+                    g = np.bincount(back, grad[at]) + self.decay * self.weights[u]
+                    squares[u] += g * g
+                    self.weights[u] = np.maximum(0, self.weights[u] - self.rate * g / np.sqrt(squares[u]))
                 b = float(grad.sum())
-                seen_bias += b * b
-                self.bias -= 0.05 * b / np.sqrt(seen_bias)
+                square += b * b
+                self.bias = min(-3.0, self.bias - self.rate * b / np.sqrt(square))
         return self
 
 
