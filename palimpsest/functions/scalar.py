@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from palimpsest.dialect.lexer import SqlError, duration
 from palimpsest.plans.types import NUMERIC, TEMPORAL, E, ddl, name_of, quote, text, unify
@@ -83,7 +84,7 @@ def to_doc(e: E) -> str:
     if t in ("boolean", "integer", "real"):
         return f"CAST({s} AS STRING)"
     if t == "text":
-        return f"CASE WHEN {s} IS NOT NULL THEN rtrim('}}', substr(to_json(named_struct('v', {s})), 6)) END" if False else f"CASE WHEN {s} IS NOT NULL THEN substring(to_json(named_struct('v', {s})), 6, length(to_json(named_struct('v', {s}))) - 6) END"
+        return f"CASE WHEN {s} IS NOT NULL THEN substring(to_json(named_struct('v', {s})), 6, length(to_json(named_struct('v', {s}))) - 6) END"
     if t in ("date", "time", "timestamp", "blob", "interval"):
         kind = {"date": "xsd:date", "time": "xsd:time", "timestamp": "xsd:dateTime", "blob": "xsd:base64Binary", "interval": "xsd:duration"}[t]
         value = {"timestamp": f"date_format({s}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")", "blob": f"base64({s})", "interval": iso_interval(s)}.get(t, f"CAST({s} AS STRING)")
@@ -97,7 +98,7 @@ def to_doc(e: E) -> str:
         return f"concat('{{', array_join(transform(array_sort(map_entries({s}), (a_, b_) -> CASE WHEN a_.key < b_.key THEN -1 WHEN a_.key > b_.key THEN 1 ELSE 0 END), x_ -> concat({key}, ':', coalesce({inner}, 'null'))), ','), '}}')"
     parts = []
     for k, x in sorted(t[1]):
-        inner = to_doc(E(f"{s}.{quote(k)}", x))
+        inner = "'null'" if x == "null" else to_doc(E(f"{s}.{quote(k)}", x))
         parts.append(f"concat({text(json.dumps(k, ensure_ascii=False) + ':')}, {inner})")
     if not parts:
         return f"CASE WHEN {s} IS NOT NULL THEN '{{}}' END"
@@ -125,6 +126,32 @@ def doc(e: E) -> E:
     return E(to_doc(e), "doc")
 
 
+class Path(NamedTuple):
+    """Where an access with constant steps leads: a document column and a variant path. Scalars there need no Python."""
+
+    base: str
+    steps: str
+
+
+def scalar(e: E, t: str) -> str:
+    """The value of the document ``e`` as a number, text or boolean; null if it is of another type."""
+    if not isinstance(e.const, Path) or t not in (*NUMERIC, "text", "boolean"):
+        return from_doc(e.sql, t)
+    v = f"variant_get(try_parse_json({e.const.base}), {text(e.const.steps)}, 'variant')"
+    kinds = {"text": "= 'STRING'", "boolean": "= 'BOOLEAN'"}.get(t, "RLIKE '^(BIGINT|DOUBLE|DECIMAL.*)$'")
+    return f"CASE WHEN schema_of_variant({v}) {kinds} THEN try_variant_get(try_parse_json({e.const.base}), {text(e.const.steps)}, '{ddl(t)}') END"
+
+
+def onward(e: E, step: tuple) -> Path | None:
+    """The path after one more constant step, if variants can follow it."""
+    old = e.const if isinstance(e.const, Path) else Path(e.sql, "$")
+    if step[0] == "key" and not set(step[1]) & set("\"'\\]"):
+        return Path(old.base, f'{old.steps}["{step[1]}"]')
+    if step[0] == "index" and step[1].is_const and isinstance(step[1].const, int) and step[1].const >= 0:
+        return Path(old.base, f"{old.steps}[{step[1].const}]")
+    return None
+
+
 def cast_to(e: E, t) -> str:
     """``e`` as the wider type ``t``."""
     if e.type == t:
@@ -150,8 +177,8 @@ def object_of(entries: list[tuple[str, E]]) -> E:
     last = dict(entries)
     if not last:
         return E("'{}'", "doc")
-    t = ("object", tuple((k, x.type) for k, x in last.items()))
-    return E(f"named_struct({', '.join(f'{text(k)}, {x.sql if x.type != 'null' else 'CAST(NULL AS STRING)'}' for k, x in last.items())})", ("object", tuple((k, x if x != "null" else "text") for k, x in t[1])))
+    cells = ", ".join(f"{text(k)}, {x.sql if x.type != 'null' else 'CAST(NULL AS STRING)'}" for k, x in last.items())
+    return E(f"named_struct({cells})", ("object", tuple((k, x.type) for k, x in last.items())))
 
 
 def access(e: E, step: tuple) -> E:
@@ -197,7 +224,7 @@ def access(e: E, step: tuple) -> E:
         arg = step[1]
         inner = "'null'" if arg is None else f"coalesce({to_doc(arg)}, 'null')"
         steps = f"concat('[[\"{kind}\",', {inner}, ']]')"
-    return E(f"pl_access({to_doc(e)}, {steps})", "doc")
+    return E(f"pl_access({to_doc(e)}, {steps})", "doc", onward(e, step) if t == "doc" else None)
 
 
 # -- intervals and time
@@ -247,7 +274,7 @@ def number(e: E) -> E:
     if e.type == "null":
         return e
     if e.type == "doc":
-        return E(f"CASE WHEN {e.sql} IS NULL THEN NULL ELSE coalesce(try_cast({e.sql} AS DOUBLE), 0D) END", "real")
+        return E(f"CASE WHEN {e.sql} IS NULL THEN NULL ELSE coalesce({scalar(e, 'real')}, 0D) END", "real")
     return E(f"CASE WHEN {e.sql} IS NULL THEN NULL ELSE 0L END", "integer")
 
 
@@ -368,9 +395,9 @@ def comparable(a: E, b: E) -> tuple[E, E] | None:
     for x, y, flip in ((a, b, False), (b, a, True)):
         if x.type == "doc":
             if y.type in NUMERIC:
-                x = E(from_doc(x.sql, "real"), "real")
+                x = E(scalar(x, "real"), "real")
             elif y.type in ("text", "boolean", "date", "timestamp", "time"):
-                x = E(from_doc(x.sql, y.type), y.type)
+                x = E(scalar(x, y.type), y.type)
             else:
                 y = doc(y)
             return (y, x) if flip else (x, y)
@@ -445,7 +472,7 @@ def as_text(e: E) -> str:
     if t == "timestamp":
         return f"concat(date_format({s}, \"yyyy-MM-dd'T'HH:mm:ss\"), regexp_replace(date_format({s}, '.SSSSSS'), '\\\\.?0+$', ''), 'Z')"
     if t == "doc":
-        return f"coalesce({from_doc(s, 'text')}, {s})"
+        return f"coalesce({scalar(e, 'text')}, {s})"
     if isinstance(t, tuple):
         return to_doc(e)
     return f"CAST({s} AS STRING)"
@@ -523,34 +550,24 @@ def like(kind: str, value: E, pattern: E, escape: E | None = None) -> E:
             return E(f"({s} LIKE {p} ESCAPE {text(escape.const)})", "boolean")
         if pattern.is_const:
             c = pattern.const
-            plain = text(c.replace("\\", "\\\\"))
-            cond = f"({s} LIKE {plain})"
-            if "%" in c.strip("%"):  # % does not cross line ends
-                pass
-            return E(cond if "%" not in c else f"({cond} AND {s} RLIKE {text(like_regex(c))})" if _may_cross(c) else cond, "boolean")
+            cond = f"{s} LIKE {text(c.replace(chr(92), chr(92) * 2))}"
+            if "%" in c:  # which does not cross line ends
+                cond += f" AND (instr({s}, '\\n') = 0 OR {s} RLIKE {text(wildcards(c, '%', '_'))})"
+            return E(f"({cond})", "boolean")
         return E(f"({s} LIKE replace({p}, '\\\\', '\\\\\\\\'))", "boolean")
     if kind == "GLOB":
         if pattern.is_const:
-            return E(f"({s} RLIKE {text(glob_regex(pattern.const))})", "boolean")
+            return E(f"({s} RLIKE {text(wildcards(pattern.const, '*', '?'))})", "boolean")
         quoted = f"regexp_replace({p}, '([^*?A-Za-z0-9_ ])', '\\\\\\\\$1')"
         return E(f"({s} RLIKE concat('^', replace(replace({quoted}, '*', '.*'), '?', '.'), '$'))", "boolean")
     return E(f"({s} RLIKE {p})", "boolean")
 
 
-def _may_cross(pattern: str) -> bool:
-    return "%" in pattern
-
-
-def like_regex(pattern: str) -> str:
-    import re
-
-    return "^" + "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern) + "\\z"
-
-
-def glob_regex(pattern: str) -> str:
+def wildcards(pattern: str, many: str, one: str) -> str:
+    """A pattern with two wild cards as a regular expression."""
     import re
 
-    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
+    return "^" + "".join("[^\\n]*" if c == many else "[^\\n]" if c == one else re.escape(c) for c in pattern) + "\\z"
 
 
 def hexed(a: E) -> E:
@@ -831,7 +848,7 @@ def cast(e: E, kind: str, size=None) -> E:
                 return E(f"CASE WHEN {x} IS NOT NULL THEN coalesce(try_cast(regexp_extract({x}, '^\\\\s*([-+]?[0-9]+)', 1) AS BIGINT), 0L) END", "integer")
             return E(f"CASE WHEN {x} IS NOT NULL THEN coalesce(try_cast(regexp_extract({x}, '^\\\\s*([-+]?[0-9]+(?:\\\\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)', 1) AS DOUBLE), 0D) END", "real")
         elif e.type == "doc":
-            e = E(from_doc(s, "real"), "real")
+            e = E(scalar(e, "real"), "real")
         elif e.type not in NUMERIC:
             raise SqlError(f"Invalid argument types: CAST({name_of(e.type)} AS {kind})")
         if to == "integer":

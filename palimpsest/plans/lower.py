@@ -412,8 +412,6 @@ class Lowering:
             if len(s.columns) != len(cols):
                 raise SqlError("Number of column names does not match projection")
             cols = [(n, e) for n, (_, e) in zip(s.columns, cols, strict=True)]
-        elif len(cols) == 1:
-            cols = [(s.alias, cols[0][1])] if False else cols
         scope.rels.append(Rel(s.alias, cols))
         return sql
 
@@ -737,12 +735,16 @@ class Lowering:
 
 
 def strip(e):
-    """An expression without source offsets."""
-    if e[0] == "name":
+    """An expression without source offsets and brackets."""
+    if isinstance(e, list):
+        return [strip(x) for x in e]
+    if not isinstance(e, tuple):
+        return e
+    if e and e[0] == "name" and len(e) == 3:
         return ("name", e[1])
-    if e[0] == "group":
+    if e and e[0] == "group" and len(e) == 2:
         return strip(e[1])
-    return tuple(strip(x) if isinstance(x, tuple) and x and isinstance(x[0], str) else [strip(y) if isinstance(y, tuple) and y and isinstance(y[0], str) else y for y in x] if isinstance(x, list) else x for x in e)
+    return tuple(strip(x) for x in e)
 
 
 def renamed(low: Lowered, names: list[str] | None) -> Lowered:

@@ -57,14 +57,18 @@ _DDL = {"null": "void", "boolean": "boolean", "integer": "bigint", "real": "doub
 
 
 def ddl(t) -> str:
-    """The Spark type that holds ``t``."""
+    """The Spark type that holds ``t``; nulls inside others are kept as strings, which files can hold."""
     if isinstance(t, str):
         return _DDL[t]
     if t[0] == "array":
-        return f"array<{ddl(t[1])}>"
+        return f"array<{_inner(t[1])}>"
     if t[0] == "map":
-        return f"map<string,{ddl(t[1])}>"
-    return "struct<" + ",".join(f"{quote(k)}:{ddl(x)}" for k, x in t[1]) + ">"
+        return f"map<string,{_inner(t[1])}>"
+    return "struct<" + ",".join(f"{quote(k)}:{_inner(x)}" for k, x in t[1]) + ">"
+
+
+def _inner(t) -> str:
+    return "string" if t == "null" else ddl(t)
 
 
 def name_of(t) -> str:
