@@ -60,6 +60,19 @@ def global_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return rows.join(F.broadcast(first), "_part").withColumn(out, F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
 
 
+def slices(batch, column: str = "text", most: int = 1 << 22):
+    """Consecutive parts of an Arrow batch with at most ``most`` bytes of text each, but one row at least; this bounds a worker's memory."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null counts as empty."""
     import pyarrow as pa

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import slices
+
 #: Two 31-bit primes and bases: products fit in 64 bits, and both together make a 62-bit hash.
 MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -182,7 +184,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     def compare(batches):
         held = None  # the row that waits for its successor
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text, extra in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("extra").to_pylist(), strict=True):
                 if extra and held is None:

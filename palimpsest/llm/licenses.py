@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpoint, texts
+from palimpsest.llm.common import checkpoint, slices, texts
 
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -113,7 +113,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
 
     def count(batches):
         df, n, want = Counter(), 0, set(vocabulary)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for t in texts(b.column("text")):
                 df.update(want.intersection(TERM.findall(t.lower())))
                 n += 1
@@ -124,7 +124,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     matcher = Matcher(templates, df, df.pop("", 0))
 
     def match(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for path, t in zip(b.column("path").to_pylist(), texts(b.column("text")), strict=True):
                 score, name, s, e = matcher.scan(t)

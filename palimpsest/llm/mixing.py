@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, checkpoint, global_index, running_sum, spread
+from palimpsest.llm.common import SPACE, checkpoint, global_index, running_sum, slices, spread
 
 WEIGHTS, EPOCHS, BUDGET, BLOCK = (5, 2, 1), 2, 1.5, 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,8 +29,8 @@ def word_counts(column) -> np.ndarray:
     begins[1:] &= space[:-1]
     firsts = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]
     begins[firsts] = ~space[firsts]
-    n = np.r_[0, np.cumsum(begins)]
-    return n[offsets[1:] - offsets[0]] - n[offsets[:-1] - offsets[0]]
+    n = np.searchsorted(np.flatnonzero(begins), offsets - offsets[0])
+    return np.diff(n)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def count(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text")))], ["doc_id", "source", "size"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").mapInArrow(count, "doc_id long, source string, size long")
@@ -169,7 +169,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     kept = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).select(*columns, "_size", "_taken", "_rows")
 
     def cut(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             sizes = word_counts(b.column("text"))
             rows, out = [], []
             for i, (t, size, own, taken, n) in enumerate(zip(b.column("text").to_pylist(), b.column("_size").to_pylist(), sizes.tolist(), b.column("_taken").to_pylist(), b.column("_rows").to_pylist(), strict=True)):

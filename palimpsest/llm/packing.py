@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpoint, running_sum, spread, texts
+from palimpsest.llm.common import checkpoint, running_sum, slices, spread, texts
 
 #: Words kept per Python worker, with their ids; then the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
@@ -60,8 +60,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -
     def cut(batches):
         encoder = tokens_of(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, most=1 << 20):
                 rows = []
                 for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(texts(b.column("text"))), strict=True):
                     ids += end

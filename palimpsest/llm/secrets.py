@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import texts
+from palimpsest.llm.common import slices, texts
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -142,7 +142,7 @@ def scan_secrets(docs: DataFrame, samples: Iterable[tuple[str, int]] | None = No
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             spans, clean = [], []
             for t in texts(b.column("text")):
                 base = base_spans(t)
@@ -172,7 +172,7 @@ def redact_documents(docs: DataFrame, samples: Iterable[tuple[str, int]] | None
     columns, model = docs.columns, MarkovPair(samples if samples is not None else labelled_samples())
 
     def clean(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             out = []
             for t in b.column("text").to_pylist():
                 if t:

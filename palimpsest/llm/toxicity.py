@@ -9,13 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import crc_fold, texts
+from palimpsest.llm.common import crc_fold, slices, texts
 from palimpsest.llm.training import labelled_sample
 
 FOLDS, HELD = 5, 0
 BITS = 18
 #: Words kept per Python worker with their scores; then the store starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = ".,;:!?\"'()[]{}*#%&$-_ "
 
@@ -109,7 +109,7 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> D
     def score(batches):
         weights, bias = sent.value
         known: dict[str, float] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for t in texts(b.column("text")):
                 if len(known) > KEPT_WORDS:
@@ -151,7 +151,7 @@ def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataF
     def keep(batches):
         weights, bias = sent.value
         known: dict[str, float] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             good = []
             for t in texts(b.column("text")):
                 if len(known) > KEPT_WORDS:
