@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -12,29 +13,82 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpoint, running_sum, slices, spread, texts
 
 #: Words kept per Python worker, with their ids; then the store starts anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS, KEPT_IDS = 300_000, 32
 _WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
 
+#: What the tokenizer does to texts of these characters alone: lower case, then runs of letters, single digits, and runs of the rest.
+_OTHER = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u203e\u20ac]")
+_SPACES, _LETTERS, _DIGITS = "\t\n\x0b\x0c\r \x85\xa0", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+_PROBES = ("Don't STOP, it's 3.14!  a_b\t\xc9t\xe9 \xbd\xb2 \u2014x\u20ac", "we'll 'Re \xd7\xf7 A1b2  \n\n--==")
+
+
+class Words(dict):
+    """Ids of lower-case words, found by the tokenizer's merges when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        tokenize, ids = self.model.tokenize, []
+        for part in (word,) if word.isascii() and word.isalpha() else _SPLIT.findall(word):
+            ids += [t.id for t in tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(ids) <= KEPT_IDS:  # long strings are rare, and would fill the store
+            self[word] = out
+        return out
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
-    """Ids of a text from a tokenizer that drops white space and never looks across it: word by word, each new word once."""
+    """Ids of a text from a tokenizer that drops white space and never looks across it: word by word, each new word once.
+
+    Words of usual characters go straight to the merges, if the tokenizer splits the probes as expected; others, and
+    texts that hold an added token, through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.words = Words(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.direct = all(b"".join(map(self.words.__getitem__, t.lower().split())) == whole(t) for t in _PROBES)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        get, out, rest = self.words.__getitem__, [], []
+        for i, t in enumerate(texts):
+            if self.direct and not _OTHER.search(t) and not _CONTROL.search(t) and not any(x in t for x in self.added):
+                out.append(b"".join(map(get, t.lower().split())))
+            else:
+                out.append(b"")
+                rest.append(i)
+        for i, ids in zip(rest, self.through([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def through(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not _CONTROL.search(t) else [w for w in _WHITE.split(t) if w] for t in texts]
         known = self.known
         if len(known) > KEPT_WORDS:
             known.clear()
         new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
         get = known.__getitem__
