@@ -27,6 +27,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(rows: int) -> int:
     """Buckets for so many rows: about as many as a bucket has rows, so neither a group nor a list of groups gets large."""
     return max(16, math.isqrt(max(0, rows)))

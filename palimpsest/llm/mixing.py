@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, checkpoint, global_index, running_sum, slices, spread
+from palimpsest.llm.common import SPACE, checkpoint, fresh, global_index, running_sum, slices, spread
 
 WEIGHTS, EPOCHS, BUDGET, BLOCK = (5, 2, 1), 2, 1.5, 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,15 +164,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     columns = docs.columns
-    plan = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken", "_rows").where("_taken > 0")
-    kept = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).select(*columns, "_size", "_taken", "_rows")
+    key, size_of, taken_of, rows_of = (fresh(n, columns) for n in ("_id", "_size", "_taken", "_rows"))
+    plan = mix(docs).groupBy("doc_id", "size").agg(F.sum("taken").alias(taken_of), F.count(F.lit(1)).alias(rows_of)).where(F.col(taken_of) > 0)
+    plan = plan.select(F.col("doc_id").alias(key), F.col("size").alias(size_of), taken_of, rows_of)
+    kept = docs.join(plan, docs["doc_id"].eqNullSafe(plan[key])).select(*(F.col(f"`{c}`") for c in columns), size_of, taken_of, rows_of)
 
     def cut(batches):
         for b in (part for whole in batches for part in slices(whole)):
             sizes = word_counts(b.column("text"))
             rows, out = [], []
-            for i, (t, size, own, taken, n) in enumerate(zip(b.column("text").to_pylist(), b.column("_size").to_pylist(), sizes.tolist(), b.column("_taken").to_pylist(), b.column("_rows").to_pylist(), strict=True)):
+            for i, (t, size, own, taken, n) in enumerate(zip(b.column("text").to_pylist(), b.column(size_of).to_pylist(), sizes.tolist(), b.column(taken_of).to_pylist(), b.column(rows_of).to_pylist(), strict=True)):
                 for x in take_words(t, own, taken // n) if own == size else ():
                     rows.append(i)
                     out.append(x)

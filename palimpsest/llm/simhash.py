@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpoint, slices, text_bytes
+from palimpsest.llm.common import checkpoint, fresh, slices, text_bytes
 from palimpsest.llm.components import LocalUnion, connected_components
 
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -175,8 +175,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component left, the one of least doc_id (of repeats, the row of least hash)."""
     columns = docs.columns
     found = near_duplicates(checkpoint(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])))
-    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  one key for the join and the window: one shuffle of the texts
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known("doc_id").alias("_id")).distinct()
-    kept = docs.withColumn("_id", known("doc_id")).join(keepers, "_id", "left_semi")
-    one = Window.partitionBy("_id").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in columns)))
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(*(F.col(f"`{c}`") for c in columns))
+    key, row = fresh("_id", columns), fresh("_row", columns)
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one key for the join and the window: one shuffle of the texts
+    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known.alias(key)).distinct()
+    kept = docs.withColumn(key, known).join(keepers, key, "left_semi")
+    one = Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in columns)))
+    return kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*(F.col(f"`{c}`") for c in columns))

@@ -15,7 +15,7 @@ from palimpsest.llm.training import labelled_sample
 FOLDS, HELD = 5, 0
 BITS = 18
 #: Words kept per Python worker with their scores; then the store starts anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = ".,;:!?\"'()[]{}*#%&$-_ "
 
