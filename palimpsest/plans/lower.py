@@ -191,7 +191,7 @@ class Lowering:
         for r in rows:
             types = [unify(t, x.type) for t, x in zip(types, r, strict=True)]
         cells = [", ".join(fx.null_of(t) if x.type == "null" else fx.cast_to(x, t) for x, t in zip(r, types, strict=True)) for r in rows]
-        if any("pl_" in c or "SELECT" in c or "q" in c and "_." in c for c in cells):
+        if any(not x.is_const or x.type == "doc" or isinstance(x.type, tuple) or t == "doc" or isinstance(t, tuple) for r in rows for x, t in zip(r, types, strict=True)):
             cols = lambda r: ", ".join(f"{fx.null_of(t) if x.type == 'null' else fx.cast_to(x, t)} AS {quote(n)}" for x, t, n in zip(r, types, names, strict=True))
             return Lowered(" UNION ALL ".join(f"SELECT {cols(r)}" for r in rows), list(zip(names, types, strict=True)))
         return Lowered(f"SELECT * FROM VALUES {', '.join(f'({c})' for c in cells)} AS {self.alias()}({', '.join(map(quote, names))})", list(zip(names, types, strict=True)))
