@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,9 +35,15 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
+def log_clean(z: np.ndarray, bias: float) -> np.ndarray:
+    """log(1 - P) of sentences by their scores z = bias + word weights, beyond the base rate sigmoid(bias): 0 for a sentence without weights."""
+    return np.minimum(0.0, np.logaddexp(0, bias) - np.logaddexp(0, np.clip(z, -30, 30)))
+
+
 class NoisyOr:
-    """P(document) = 1 - product over sentences of (1 - sigmoid(bias + sum of word weights)).
+    """P(document) = 1 - product over sentences of (1 - P), where 1 - P = (1 - sigmoid(bias + sum of word weights)) / (1 - sigmoid(bias)).
 
+    A sentence without any weighted word has P = 0, so a document's score does not grow with its neutral sentences.
     The document's label is the only supervision: the gradient reaches each sentence by its share in the noisy-or. Only
     features that at least ``support`` toxic documents hold, and that are surely commoner there (log-odds less two
     standard errors above ``margin``), get a weight; so a few wrong labels teach nothing about rare words.
@@ -51,44 +58,52 @@ class NoisyOr:
         positives = sum(y for _, y in rows)
         if not 0 < positives < len(rows):
             return self
-        known: dict[str, list[int]] = {}
-        split = [([set(text[s:e].split()) for s, e in sentences_of(text)], y) for text, y in rows]
+        known: dict[str, int] = {}
+        features: list[list[int]] = []
+        split = []  # of each document, its sentences' distinct words and where they stand
         seen_in = np.zeros((2, 1 << BITS))
-        for sentences, y in split:
-            held = set()
-            for w in set().union(*sentences):
-                if w not in known:
-                    known[w] = features_of(w)
-                held.update(known[w])
+        for text, y in rows:
+            ids, at = array("i"), array("i")
+            for k, (s, e) in enumerate(sentences_of(text)):
+                for w in set(text[s:e].split()):
+                    if (i := known.get(w)) is None:
+                        i = known[w] = len(features)
+                        features.append(features_of(w))
+                    ids.append(i)
+                    at.append(k)
+            split.append((ids, at, y))
+            held = set().union(*(features[i] for i in set(ids)))
             seen_in[y, list(held)] += 1
         pos, neg = seen_in[1], seen_in[0]
         odds = np.log((pos + 0.5) / (positives - pos + 0.5)) - np.log((neg + 0.5) / (len(rows) - positives - neg + 0.5))
         sure = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
         used = (pos >= self.support) & (sure > self.margin)
         self.weights = np.where(used, odds, 0.0)
-        keep = {w: [f for f in fs if used[f]] for w, fs in known.items()}
+        keep = [[f for f in fs if used[f]] for fs in features]
         share = {1: len(rows) / (2 * positives), 0: len(rows) / (2 * (len(rows) - positives))}
         bags = []
-        for sentences, y in split:
-            pairs = [(f, k) for k, words in enumerate(sentences) for w in words for f in keep[w]]
-            ids, at = (np.array(x, dtype=np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-            bags.append((ids, at, len(sentences), y))
+        for words, places, y in split:
+            pairs = [(f, k) for w, k in zip(words, places, strict=True) for f in keep[w]]
+            if pairs:  # neutral sentences say nothing
+                ids, at = np.array(pairs, dtype=np.int64).T
+                n, at = len(k := np.unique(at)), np.searchsorted(k, at)
+                bags.append((ids, at, n, y))
+        if not bags:
+            return self
         squares, square = np.full(1 << BITS, 1e-1), 1e-1
         order = np.random.default_rng(self.seed)
         for _ in range(self.epochs):
             for i in order.permutation(len(bags)):
                 ids, at, n, y = bags[i]
-                if not n:
-                    continue
-                p = 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(at, self.weights[ids], n), -30, 30)))
-                clean = np.exp(np.log1p(-p).sum())
-                grad = p * (share[0] if y == 0 else -share[1] * clean / max(1 - clean, 0.05))
-                if len(ids):
-                    u, back = np.unique(ids, return_inverse=True)
-                    g = np.bincount(back, grad[at]) + self.decay * self.weights[u]
-                    squares[u] += g * g
-                    self.weights[u] = np.maximum(0, self.weights[u] - self.rate * g / np.sqrt(squares[u]))
-                b = float(grad.sum())
+                z = self.bias + np.bincount(at, self.weights[ids], n)
+                p, base = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z, self.bias))
+                clean = np.exp(log_clean(z, self.bias).sum())
+                pull = share[0] if y == 0 else -share[1] * clean / max(1 - clean, 0.05)
+                u, back = np.unique(ids, return_inverse=True)
+                g = np.bincount(back, (pull * p)[at]) + self.decay * self.weights[u]
+                squares[u] += g * g
+                self.weights[u] = np.maximum(0, self.weights[u] - self.rate * g / np.sqrt(squares[u]))
+                b = float((pull * (p - base)).sum())
                 square += b * b
                 self.bias = min(-3.0, self.bias - self.rate * b / np.sqrt(square))
         return self
@@ -121,8 +136,8 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> D
                         if (x := known.get(w)) is None:
                             x = known[w] = float(weights[features_of(w)].sum())
                         z[k] += x
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                whole = float(-np.expm1(np.log1p(-p).sum())) if len(p) else 0.0
+                clean = log_clean(z, bias)
+                p, whole = -np.expm1(clean), float(-np.expm1(clean.sum()))
                 bad = np.flatnonzero(p >= threshold)
                 if not len(bad) and whole >= threshold:
                     bad = np.array([int(p.argmax())])
@@ -158,12 +173,13 @@ def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataF
                     known.clear()
                 clean = 0.0
                 for s, e in sentences_of(t):
-                    z = bias
+                    z = 0.0
                     for w in set(t[s:e].split()):
                         if (x := known.get(w)) is None:
                             x = known[w] = float(weights[features_of(w)].sum())
                         z += x
-                    clean += np.log1p(-1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
+                    if z:
+                        clean += float(log_clean(bias + z, bias))
                 good.append(-np.expm1(clean) < threshold)
             yield b.filter(pa.array(good, pa.bool_())).select(columns)
 

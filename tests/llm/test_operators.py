@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from palimpsest.llm import components, fingerprints, licenses, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, urls
+from palimpsest.llm import components, fingerprints, licenses, mixing, packing, quality, queries, secrets, simhash, topk, toxicity, training, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, `_id` long, `_row` int, score double, node long, `_taken` long"
 WORDS = "lorem ipsum dolor sit amet sed do eiusmod tempor magna aliqua enim minim veniam quis nostrud".split()
@@ -227,6 +227,34 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_of_long_texts(spark):
+    def make(i):
+        bad = i % 4 == 0
+        silent = i % 40 == 0  # a noisy label: no toxic word
+        return prose(i, 40) + (" You are a blasted nitwit. " if bad and not silent else " ") + prose(-i - 1, 40), int(bad)
+
+    train, labels = labelled(spark, 400, make)
+    model = toxicity.fit_toxicity(train, labels)
+    neutral = "Lorem ipsum dolor sit amet. " * 2000
+    docs = spark.createDataFrame([(1, neutral), (2, neutral + "You are a blasted nitwit. " + neutral)], "doc_id long, text string")
+    clean, bad = sorted(toxicity.score_toxicity(docs, model).collect())
+    assert clean.n_sentences > 2000 and clean.score == 0 and not clean.offending
+    assert bad.predicted == 1 and ["nitwit" in (neutral + "You are a blasted nitwit. ")[s.start : s.end] for s in bad.offending] == [True]
+    assert [r.doc_id for r in toxicity.drop_toxic(docs, model).collect()] == [1]
+
+
+def test_sample_takes_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (20_000 if i % 2 else 10) + str(i)) for i in range(20)] + [(20, None), (21, "y" * 200_001), (3, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 10)) for i in range(23)], "doc_id long, toxic int")
+    got = training.labelled_sample(docs, labels, "toxic", 5, 0, per_class=100, mean_chars=2000)
+    learnt = {i for i in range(22) if zlib.crc32(str(i).encode()) % 5}
+    texts = dict(tuple(r) for r in docs.where("text != 'short'").collect())
+    texts[3] = "short"
+    assert sorted(got) == sorted((texts[i], int(i >= 10)) for i in learnt if i < 20)
+    few = training.labelled_sample(docs, labels, "toxic", 5, 0, per_class=20, mean_chars=2000)
+    assert all(sum(len(t) for t, y in few if y == x) <= 40_000 for x in (0, 1)) and any(len(t) > 20_000 for t, _ in few)
+
+
 def test_quality(spark, docs, empty):
     def make(i):
         bad = i % 5 == 0
