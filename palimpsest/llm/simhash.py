@@ -143,14 +143,17 @@ def near_duplicates(fingerprints: DataFrame, limit: int = 3) -> DataFrame:
 
     ``fingerprints`` is read several times: checkpoint it first. Copies become one class by a pre-aggregated minimum,
     only classes are linked, and fingerprints that hold over a thousandth of the rows (so at most a thousand) find their
-    class by a broadcast, the others by a join, which no hot key can then tilt. Rows of one doc_id count as linked.
+    class by a broadcast, the others by a join, which no hot key can then tilt. Rows of one doc_id count as linked: an id
+    with several fingerprints gives an edge from each of their classes to the id.
     Null ids stand behind all others (ids must be under 2**62) and are a component_id only if all of the component are null.
     """
     total = fingerprints.count()
     nameless = F.shiftrightunsigned("_fp", 1).bitwiseOR(F.lit(1 << 62))
     classes = fingerprints.groupBy("_fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = checkpoint(classes.select("_fp", "n", F.coalesce("least", nameless).alias("node")))
-    roots = connected_components(link_fingerprints(classes, limit))
+    several = fingerprints.where("doc_id is not null").groupBy("doc_id").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).where("_low <> _high").select("doc_id")
+    shared = fingerprints.join(several, "doc_id").select("doc_id", "_fp").distinct().join(classes, "_fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    roots = connected_components(link_fingerprints(classes, limit).unionAll(shared))
     root = F.coalesce("root", classes["node"])
     of = classes.join(roots, "node", "left").select("_fp", "n", F.when(root < (1 << 62), root).alias("component_id"))
     of = checkpoint(of)
@@ -172,12 +175,21 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component left, the one of least doc_id (of repeats, the row of least hash)."""
+    """``docs`` with one row of each group of texts that are linked by their fingerprints: the one of least doc_id (null last), then of least hash.
+
+    Only texts link rows here: rows without an id, or of one id but with texts that are not near, each keep their own
+    text. The survivor is found among classes of equal fingerprints by pre-aggregated minima.
+    """
     columns = docs.columns
-    found = near_duplicates(checkpoint(with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])))
-    key, row = fresh("_id", columns), fresh("_row", columns)
+    key, row, nth = fresh("_id", columns), fresh("_hash", columns), fresh("_nth", columns)
+    cols = [F.col(f"`{c}`") for c in columns]
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # one key for the join and the window: one shuffle of the texts
-    keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known.alias(key)).distinct()
-    kept = docs.withColumn(key, known).join(keepers, key, "left_semi")
-    one = Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in columns)))
-    return kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).select(*(F.col(f"`{c}`") for c in columns))
+    named = docs.withColumns({key: known, row: F.xxhash64(*cols, *(c.isNull() for c in cols))})
+    found = named.select(F.col(key).alias("id"), F.col("doc_id").isNull().alias("nameless"), F.col(row).alias("hash"), "text")
+    found = checkpoint(with_fingerprint(found, ["nameless", "id", "hash"]))
+    classes = checkpoint(found.groupBy("_fp").agg(F.min(F.struct("nameless", "id", "hash")).alias("best")))
+    roots = connected_components(link_fingerprints(classes.select("_fp", F.col("_fp").alias("node"))))
+    best = classes.join(roots, classes["_fp"] == roots["node"], "left").groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = named.join(best.select(F.col("best.id").alias(key), F.col("best.hash").alias(row)), [key, row], "left_semi")
+    one = Window.partitionBy(key, row).orderBy(row)
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*cols)

@@ -319,6 +319,16 @@ def test_simhash_brute_force(docs, rows, empty):
     assert sorted(x for x in ids if x is not None) == sorted(set(least.values())) and ids.count(None) <= 1
 
 
+def test_one_of_each_text_stays(spark, docs):
+    assert [r.text for r in simhash.keep_one(docs).collect() if r.doc_id is None] == [prose(4, 60)]
+    a, b, c, d = (prose(i, 80) for i in range(20, 24))
+    some = spark.createDataFrame([(3, a), (5, a), (5, b), (None, c), (None, d), (None, a), (None, d)], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(some).collect())) == sorted(map(str, spark.createDataFrame([(3, a), (5, b), (None, c), (None, d)], "doc_id long, text string").collect()))
+    got = simhash.simhash_components(some).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(3, 3), (5, 3), (5, 3)]
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["3", "None", "None", "None"]
+
+
 def test_links_of_random_points_brute_force(spark):
     r = random.Random(6)
     points = [r.getrandbits(64) for _ in range(60)]
