@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -37,8 +38,11 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Proprietary", "All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited"),
 ]
-TRIGGERS = ("licen", "copyright", "spdx", "permission", "public domain", "rights reserved", "proprietary", "source code form")
+#: A text without any of these parts (lower case) has no trigger.
+PARTS = ("licen", "copyright", "spdx", "permission", "domain", "reserved", "proprietary", "form")
+TRIGGER = re.compile(r"licen|copyright|spdx|permission|public\W+domain|rights\W+reserved|proprietary|source\W+code\W+form", re.IGNORECASE)
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+WORD = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")
 NAMES = re.compile(r"(?i)^(licen[cs]e|copying|unlicense)(\.|$)")
 THRESHOLD = 0.6
 
@@ -56,26 +60,59 @@ class Matcher:
         self.vectors = []
         for name, x in templates:
             v = {t: n * self.idf[t] for t, n in terms(x).items()}
-            self.vectors.append((name, v, math.sqrt(sum(w * w for w in v.values()))))
+            self.vectors.append((name, v, math.sqrt(sum(w * w for w in v.values())), sum(terms(x).values())))
 
     def best(self, segment: str) -> tuple[float, str]:
         v = {t: n * self.idf.get(t, self.rarest) for t, n in terms(segment).items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         if not norm:
             return 0.0, ""
-        found = [(-sum(w * v[t] for t, w in x.items() if t in v) / (norm * size), name) for name, x, size in self.vectors]
+        found = [(-sum(w * v[t] for t, w in x.items() if t in v) / (norm * size), name) for name, x, size, _ in self.vectors]
         score, name = min(found)
         return -score, name
 
+    def windows(self, text: str, hits: list[tuple[int, int]]):
+        """(score, license, start, end): for each template the best window of as many terms as it has that meets a hit, across and inside lines."""
+        found = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+        starts, ends, words = ([x[i] for x in found] for i in range(3))
+        weights = [self.idf.get(t, self.rarest) for t in words]
+        at = [(bisect_right(ends, s), bisect_left(starts, e)) for s, e in hits]
+        for name, v, size, n in self.vectors:
+            ranges = []
+            for first, stop in at:
+                lo, hi = max(0, first - n + 1), min(len(words), stop + n - 1)
+                if ranges and lo < ranges[-1][1]:
+                    ranges[-1][1] = max(hi, ranges[-1][1])
+                elif lo < hi:
+                    ranges.append([lo, hi])
+            best = (0.0, 0, 0)
+            for lo, hi in ranges:
+                counts, dot, norm = {}, 0.0, 0.0
+                for i in range(lo, hi):
+                    t, w = words[i], weights[i]
+                    c = counts[t] = counts.get(t, 0) + 1
+                    norm += (2 * c - 1) * w * w
+                    dot += v.get(t, 0.0) * w
+                    low = max(lo, i - n + 1)
+                    if i - n >= lo:
+                        t, w = words[i - n], weights[i - n]
+                        c = counts[t] = counts[t] - 1
+                        norm -= (2 * c + 1) * w * w
+                        dot -= v.get(t, 0.0) * w
+                    if (i - low == n - 1 or i == hi - 1) and (score := dot / (size * math.sqrt(norm))) > best[0] + 1e-9:
+                        best = (score, low, i)
+            if best[0]:
+                yield best[0], name, starts[best[1]], ends[best[2]]
+
     def scan(self, text: str) -> tuple[float, str, int, int]:
-        """Best (score, license, start, end) over all segments: lines, runs of lines with a trigger in each, and the whole text if short."""
+        """Best (score, license, start, end) over all segments: lines and runs of lines with a trigger in each, the whole text, and windows around each trigger."""
         low = text.lower()
-        if not any(t in low for t in TRIGGERS):
+        if not any(t in low for t in PARTS) or not (hits := [m.span() for m in TRIGGER.finditer(text)]):
             return 0.0, "", 0, 0
         segments, run, at = [], None, 0
         for line in text.split("\n"):
             end = at + len(line)
-            if any(t in line.lower() for t in TRIGGERS):
+            if TRIGGER.search(line):
                 segments.append((at, end))
                 run = (run[0] if run else at, end)
             elif run:
@@ -84,13 +121,15 @@ class Matcher:
             at = end + 1
         if run:
             segments.append(run)
-        if len(text) <= 2000:
-            segments.append((0, len(text)))
+        segments.append((0, len(text)))
         best = (0.0, "", 0, 0)
         for s, e in dict.fromkeys(segments):
             score, name = self.best(text[s:e])
             if score > best[0] + 1e-12:
                 best = (score, name, s, e)
+        for found in self.windows(text, hits):
+            if found[0] > best[0] + 1e-9:
+                best = found
         return best
 
 

@@ -93,6 +93,19 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_license_inside_long_lines_and_across_lines():
+    match = licenses.Matcher(licenses.TEMPLATES, {"the": 900, "under": 300, "this": 500, "is": 800}, 1000)
+    apache = "Licensed under the Apache License, Version 2.0"
+    for n in (20, 300, 3000):
+        text = prose(1, n) + " " + apache + " " + prose(2, n)
+        score, name, s, e = match.scan(text)
+        assert (name, text[s:e]) == ("Apache-2.0", apache) and score > 0.99
+    text = prose(3, 500) + "\n// This is free and unencumbered software released into the\n// public\n// domain\n" + prose(4, 500)
+    score, name, s, e = match.scan(text)
+    assert name == "Unlicense" and score > 0.99 and text[s:].startswith("This is free") and text[:e].endswith("domain")
+    assert match.scan(prose(5, 2000))[0] == 0 and match.scan("licence")[1] is not None
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprints.compare_with_next(docs).collect()
     order = sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
