@@ -38,9 +38,38 @@ TEMPLATES = [
     ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"),
     ("Proprietary", "All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited"),
 ]
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation, either version {version} of the License, or (at your option) any later version."""
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+#: Standard headers, and licence files: their texts where they are short, else their titles with the version line.
+TEMPLATES += [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MIT", f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY}"""),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"),
+    *((f"{short}GPL-{version}.0", _GPL.format(kind=kind, version=version)) for short, kind, version in (("", "", 2), ("", "", 3), ("A", "Affero ", 3), ("L", "Lesser ", 3))),
+    ("LGPL-2.1", _GPL.format(kind="Lesser ", version="2.1").replace("This program", "This library")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+]
 #: A text without any of these parts (lower case) has no trigger.
-PARTS = ("licen", "copyright", "spdx", "permission", "domain", "reserved", "proprietary", "form")
-TRIGGER = re.compile(r"licen|copyright|spdx|permission|public\W+domain|rights\W+reserved|proprietary|source\W+code\W+form", re.IGNORECASE)
+PARTS = ("licen", "redistribut", "copyright", "spdx", "permission", "domain", "reserved", "proprietary", "form")
+TRIGGER = re.compile(r"licen|redistribut|copyright|spdx|permission|public\W+domain|rights\W+reserved|proprietary|source\W+code\W+form", re.IGNORECASE)
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 WORD = re.compile(r"[a-zA-Z0-9]+(?:\.[0-9]+)*")
 NAMES = re.compile(r"(?i)^(licen[cs]e|copying|unlicense)(\.|$)")
@@ -105,7 +134,7 @@ class Matcher:
                 yield best[0], name, starts[best[1]], ends[best[2]]
 
     def scan(self, text: str) -> tuple[float, str, int, int]:
-        """Best (score, license, start, end) over all segments: lines and runs of lines with a trigger in each, the whole text, and windows around each trigger."""
+        """Best (score, license, start, end); equal scores go to the longer segment. Segments: lines and runs of lines with a trigger in each, the whole text, and windows around each trigger."""
         low = text.lower()
         if not any(t in low for t in PARTS) or not (hits := [m.span() for m in TRIGGER.finditer(text)]):
             return 0.0, "", 0, 0
@@ -128,7 +157,8 @@ class Matcher:
             if score > best[0] + 1e-12:
                 best = (score, name, s, e)
         for found in self.windows(text, hits):
-            if found[0] > best[0] + 1e-9:
+            more = found[0] - best[0]
+            if more > 1e-9 or more > -1e-9 and found[3] - found[2] > best[3] - best[2]:
                 best = found
         return best
 
@@ -137,7 +167,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, threshold: float = THRE
     """(doc_id, path, text) -> doc_id, path, own_license, own_score, span_start, span_end, license, inherited_from.
 
     own_license is the template of greatest cosine to a segment of the whole text, if it reaches ``threshold``; ties go to
-    the lesser name and the first segment. A licence file (by its name, or one of which the segment is at least half)
+    the longer window, the lesser name and the first segment. A licence file (by its name, or one of which the segment is at least half)
     gives its licence to its directory: the best score, then the lesser name. A file without an own licence takes that of
     the nearest ancestor directory that has one. Null text is empty; a null path has no directory and inherits nothing;
     null ids and repeated rows stay; an empty table gives no rows; other columns are ignored.

@@ -106,6 +106,23 @@ def test_license_inside_long_lines_and_across_lines():
     assert match.scan(prose(5, 2000))[0] == 0 and match.scan("licence")[1] is not None
 
 
+def test_license_headers_and_files():
+    match = licenses.Matcher(licenses.TEMPLATES, {"the": 900, "under": 300, "this": 500, "is": 800, "of": 900, "and": 900}, 1000)
+    gpl = "# This program is free software{} you can redistribute it and/or\n# modify it under the terms of the GNU {}General Public License as\n# published by the Free Software Foundation{} either version {} of the\n# License, or (at your option) any later version.\n"
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+    names = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    as_is = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.\n'
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       {}\n\n Copyright (C) Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    cases = [
+        ("GPL-3.0", gpl.format(":", "", ",", 3)), ("GPL-2.0", gpl.format(";", "", ";", 2)), ("AGPL-3.0", gpl.format(":", "Affero ", ",", 3)), ("LGPL-3.0", gpl.format(":", "Lesser ", ",", 3)),
+        ("BSD-2-Clause", bsd + "\n" + as_is), ("BSD-3-Clause", bsd + names + "\n" + as_is), ("BSD-3-Clause", bsd + names.replace("the copyright holder", "Some Firm Inc.") + "\n" + as_is), ("GPL-2.0", title.format("Version 2, June 1991")), ("GPL-3.0", title.format("Version 3, 29 June 2007")),
+    ]
+    for want, text in cases:
+        for t in (text, text + "\n" + prose(1, 600)):
+            score, name, _, _ = match.scan(t)
+            assert (name, score >= licenses.THRESHOLD) == (want, True), (want, name, score, t)
+
+
 def test_fingerprints(docs, rows, empty):
     got = fingerprints.compare_with_next(docs).collect()
     order = sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
