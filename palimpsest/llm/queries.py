@@ -143,13 +143,33 @@ WITH d AS (
 ), t AS (
   SELECT w.*, least(CAST(cap AS DOUBLE), weight * coalesce(level, 0.0)) AS target FROM w, l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+  SELECT row_number() OVER () AS id, d.doc_id, d.size, t.nr, t.source_size, t.target,
          CAST(coalesce(sum(d.size) OVER (PARTITION BY t.nr ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), need AS (
+  SELECT nr, source_size AS size, words, (source_size + 4095) // 4096 AS blocks, words % source_size AS rest,
+         words // source_size * ((source_size + 4095) // 4096) + (words % source_size + 4095) // 4096 AS need
+  FROM (SELECT *, CAST(floor(target) AS BIGINT) AS words FROM t WHERE source_size > 0 AND target >= 1)
+), axis AS (
+  SELECT *, coalesce(sum(need) OVER (ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS low, (sum(need) OVER ())::HUGEINT AS n FROM need
+), grid AS (
+  SELECT n, length(bin(CAST(n - 1 AS BIGINT))) AS bits FROM (SELECT max(n) AS n FROM axis) WHERE n IS NOT NULL
+), point AS (
+  SELECT slot, n, bits, list_sum(list_transform(range(bits), lambda j: ((slot >> j) & 1) << (bits - 1 - j))) AS x
+  FROM (SELECT n, bits, unnest(range(1::BIGINT << bits)) AS slot FROM grid)
+), slots AS (
+  SELECT nr, slot, size, rest, need, blocks, row_number() OVER (PARTITION BY nr ORDER BY slot) - 1 AS rank
+  FROM point p JOIN axis a ON p.x * a.n >= a.low * (1::HUGEINT << p.bits) AND p.x * a.n < (a.low + a.need) * (1::HUGEINT << p.bits)
+), drawn AS (
+  SELECT nr, slot, rank % blocks AS block, CASE WHEN rank = need - 1 AND rest > 0 THEN rest ELSE size END AS until FROM slots WHERE rank < need
+), part AS (
+  SELECT id, nr, start, size, unnest(range(start // 4096, (start + size - 1) // 4096 + 1)) AS block FROM p WHERE size > 0
+), met AS (
+  SELECT id, slot, least(part.start + part.size, (block + 1) * 4096, until) - greatest(part.start, block * 4096) AS words FROM part JOIN drawn USING (nr, block)
+), sums AS (
+  SELECT id, CAST(sum(words) AS BIGINT) AS taken, min(slot) AS first_slot, count(*) AS n_slots FROM met WHERE words > 0 GROUP BY id
 )
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END AS taken
-FROM p
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM p LEFT JOIN sums USING (id)
 """
 
 

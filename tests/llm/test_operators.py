@@ -305,7 +305,7 @@ def test_mixing_against_sql(spark, docs, rows, empty):
     got = [tuple(r) for r in mixing.mix(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     total = {}
-    for _, size, _, target, taken in got:
+    for _, size, _, target, taken, *_ in got:
         assert taken <= 2 * size
         total[target] = total.get(target, 0) + taken
     assert all(abs(v - k) <= 1 or list(x[3] for x in got).count(k) for k, v in total.items())
@@ -313,6 +313,54 @@ def test_mixing_against_sql(spark, docs, rows, empty):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     assert out.selectExpr("sum(size(split(trim(regexp_replace(text, '[ \\\\t\\\\n]+', ' ')), ' ')))").first()[0] == sum(r[4] for r in got)
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_van_der_corput_ranks_brute_force():
+    bits = 6
+    points = [int(f"{i:06b}"[::-1], 2) for i in range(1 << bits)]
+    for n in range((1 << bits) + 1):
+        got = mixing.earlier(np.full(65, n), np.arange(65), bits)
+        assert got.tolist() == [sum(p < x for p in points[:n]) for x in range(65)]
+
+
+def test_schedule_keeps_shares_up_to_every_slot(spark):
+    sources = [(0, 900_000, 600_000.0), (1, 5000, 10_000.0), (2, 100_000, 70_001.0), (3, 10, 0.0), (4, 3, 6.0)]
+    df = spark.createDataFrame(sources, "at long, source_size long, target double")
+    slots, n = mixing.schedule(df, 100)
+    rows = sorted(tuple(r) for r in slots.collect())
+    need = {0: 6000, 1: 100, 2: 701, 4: 2}
+    assert n == sum(need.values()) and len(rows) == n
+    for at, k in need.items():
+        mine = [r for r in rows if r[1] == at]
+        assert [r[2] for r in mine] == list(range(k))  # ranks in the order of the slots
+        size = sources[at][1]
+        blocks = -(-size // 100)
+        assert [(r[3], r[4]) for r in mine] == [(i % blocks, i // blocks) for i in range(k)]
+        assert all(abs(sum(r[0] < m for r in mine) - min(k, m * k / n)) <= 2 * np.log2(n) for m in range(0, 2 * n, 97))
+    assert [r[5] for r in rows if r[1] == 2][-1] == 70_001 and [r[5] for r in rows if r[1] == 4] == [3, 3]
+
+
+def test_mixing_gives_each_copy_its_part_in_slot_order(spark):
+    again, other = prose(31, 5000), prose(32, 5000)
+    rows = [row(None, again), row(None, again), row(None, other), row(7, again), row(7, again), row(7, other), row(7, again, "b"), row(8, prose(33, 9000), None)]
+    rows += [row(20 + i, prose(40 + i, 300 + i), "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    plan = mixing.plan_of(docs)[0].collect()
+    want = sorted(d.words for r in plan for d in r.drawn)
+    out = mixing.mixed_documents(docs).collect()
+    assert sorted(len(r.text.split()) for r in out) == want
+    words = {}
+    for r in out:
+        key = (r.doc_id, r.source)
+        words[key] = words.get(key, 0) + len(r.text.split())
+    source = {d: s for d, _, _, s, *_ in rows}
+    for d in source:
+        if d is not None and d != 7:
+            assert words.get((d, source[d]), 0) == sum(r.taken for r in plan if r.doc_id == d)
+    slot = {r.doc_id: r.first_slot for r in plan if r.doc_id and r.doc_id >= 20}
+    firsts = list(dict.fromkeys(r.doc_id for r in out if r.doc_id and r.doc_id >= 20))
+    assert [slot[d] for d in firsts] == sorted(slot[d] for d in firsts)
 
 
 def brute_simhash(text):
