@@ -216,6 +216,42 @@ def test_topk(spark):
     assert topk.search(topk.integer_vectors(df.limit(0)), topk.F.col("vec_id") % 50 == 0).count() == 0
 
 
+def brute_topk(rows, k=5):
+    out = []
+    for q, v in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_topk_of_several_lengths_and_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 64)
+    r = random.Random(8)
+    rows = [(i, [r.randint(-9, 9) for _ in range(n)]) for n in (4, 6, 0, 1) for i in range(1000 * n, 1000 * n + 230)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, v array<double>").repartition(3)
+    got = sorted(tuple(x) for x in topk.search(df, topk.F.col("vec_id") % 50 == 0).collect())
+    assert got == brute_topk(rows)
+    same = spark.createDataFrame([(5, [1.0])] * 9000 + [(50, [2.0])], "vec_id long, v array<double>")
+    assert [tuple(x) for x in topk.search(same, topk.F.col("vec_id") % 50 == 0).collect()] == [(50, k, 5, 2) for k in range(1, 6)]
+
+
+def test_topk_stops_early_on_clusters(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 16)) * 4000
+    v = np.floor(np.repeat(centres, 250, axis=0) + r.normal(size=(10_000, 16)) * 60)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").repartition(2)
+    found = topk.search(df, topk.F.col("vec_id") % 50 == 0, scanned=True).collect()
+    s = v[::50] @ v.T
+    s[np.arange(200), np.arange(0, 10_000, 50)] = -np.inf
+    best = {50 * i: [int(c) for c in np.lexsort((np.arange(10_000), -s[i]))[:5]] for i in range(200)}
+    got = {}
+    for x in sorted(found):
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == best
+    assert np.mean([x.scanned for x in found if x["rank"] == 1]) < 0.25 * 10_000
+
+
 def test_urls(spark):
     import datetime as dt
 
