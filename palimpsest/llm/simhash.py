@@ -71,8 +71,37 @@ def cells(counts: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def finer(fp: np.ndarray) -> np.ndarray:
+    """Four keys of each point, one a 16-bit quarter of its bits: points within three bits have one in common."""
+    return np.stack([(fp >> np.uint64(16 * i)) & np.uint64(0xFFFF) | np.uint64(i << 16) for i in range(4)], axis=1)
+
+
+def links_of(fp: np.ndarray, limit: int):
+    """Linked positions of distinct points in a cell, enough to connect what is linked: a range join on the sum of the counts.
+
+    Points are sorted by that sum; two within the limit differ by at most the limit in it, so each front of a
+    breadth-first search looks only at the unvisited points in that range, first by Manhattan distance, then exactly.
+    """
+    counts = embed(fp)
+    total = np.bitwise_count(counts).astype(np.int64)
+    left = np.argsort(total, kind="stable")
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            p = front.pop()
+            lo, hi = np.searchsorted(total[left], (total[p] - limit, total[p] + limit + 1))
+            some = left[lo:hi]
+            near = np.bitwise_count(counts[some] ^ counts[p]) <= limit
+            near[near] = np.bitwise_count(fp[some[near]] ^ fp[p]) <= limit
+            if near.any():
+                got = some[near]
+                yield np.full(len(got), p), got
+                front.extend(got)
+                left = np.r_[left[:lo], some[~near], left[hi:]]
+
+
 def _links(keys: np.ndarray, fps: np.ndarray, limit: int):
-    """Linked positions of points in a cell; sorted keys. Small cells: all pairs at offset 1, 2, ..; others: breadth-first, each point leaves the unvisited once."""
+    """Linked positions of points by their cells; sorted keys. Cells of up to 32: all pairs at offset 1, 2, ..; larger ones one by one, over 2048 points by their finer keys."""
     new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[new, len(keys)])
     of = np.repeat(size, size)
@@ -86,81 +115,89 @@ def _links(keys: np.ndarray, fps: np.ndarray, limit: int):
         near = near[np.bitwise_count(x[near + d] ^ x[near]) <= limit]
         yield small[near], small[near + d]
     for at in np.flatnonzero(size > 32):
-        left = np.arange(new[at], new[at] + size[at])
-        x = fps[left]
-        c = embed(x)
-        while len(left):
-            front, left, x, c = [left[0]], left[1:], x[1:], c[1:]
-            while front and len(left):
-                p = front.pop()
-                near = np.bitwise_count(c ^ embed(fps[p])) <= limit
-                near[near] = np.bitwise_count(x[near] ^ fps[p]) <= limit
-                if near.any():
-                    got = left[near]
-                    yield np.full(len(got), p), got
-                    front.extend(got)
-                    left, x, c = left[~near], x[~near], c[~near]
+        first, n = new[at], size[at]
+        x = fps[first : first + n]
+        if n <= 2048:
+            groups = [np.arange(n)]
+        else:
+            key = finer(x).ravel()
+            order = np.argsort(key, kind="stable")
+            groups = [g // 4 for g in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(g) > 1]
+        for g in groups:
+            for a, b in links_of(x[g], limit):
+                yield first + g[a], first + g[b]
 
 
 def link_fingerprints(classes: DataFrame, limit: int = 3) -> DataFrame:
-    """(_fp, node) -> edges (a, b) between nodes that connect the same sets as all pairs within ``limit`` (at most 3) bits.
+    """(_fp) of distinct fingerprints -> edges (a, b) between them that connect the same sets as all pairs within ``limit`` (at most 3) bits.
 
     Each point is sent to its 20 cells. A cell never holds copies, only distinct fingerprints that agree in half of the
-    segments; within it no pair is emitted but the edges of a forest. Manhattan distance filters, the exact distance decides.
+    segments; within it no pair is emitted but the edges of a forest. Manhattan distance filters, the exact distance
+    decides. A task emits edges run by run and remembers nothing between them.
     """
     import pyarrow as pa
 
     def spread(batches):
         for b in batches:
-            fp, node = (b.column(c).to_numpy() for c in ("_fp", "node"))
+            fp = b.column("_fp").to_numpy()
             key = cells(embed(fp.view(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.ravel(), *(np.repeat(y, key.shape[1]) for y in (fp, node)))], ["cell", "_fp", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp, key.shape[1]))], ["cell", "_fp"])
 
-    def join(batches):
+    def forest(keys: np.ndarray, fps: np.ndarray):
         union = LocalUnion()
-        keys, fps, nodes = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            keys = np.r_[keys, b.column("cell").to_numpy()]
-            fps = np.r_[fps, b.column("_fp").to_numpy().view(np.uint64)]
-            nodes = np.r_[nodes, b.column("node").to_numpy()]
-            if not len(keys) or keys[0] == keys[-1]:
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last cell may go on
-            for a, c in _links(keys[:last], fps[:last], limit):
-                union.add(nodes[a], nodes[c])
-            keys, fps, nodes = keys[last:], fps[last:], nodes[last:]
-        for a, c in _links(keys, fps, limit):
-            union.add(nodes[a], nodes[c])
+        for a, b in _links(keys, fps.view(np.uint64), limit):
+            union.add(fps[a], fps[b])
         for a, b in union.edges():
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    spread_out = classes.select("_fp", "node").mapInArrow(spread, "cell long, _fp long, node long")
+    def join(batches):
+        keys, fps = [], []  # of whole cells and of one that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys.append(b.column("cell").to_numpy())
+            fps.append(b.column("_fp").to_numpy())
+            if keys[0][0] != keys[-1][-1]:
+                k, x = np.concatenate(keys), np.concatenate(fps)
+                last = int(np.searchsorted(k, k[-1]))
+                yield from forest(k[:last], x[:last])
+                keys, fps = [k[last:]], [x[last:]]
+        if keys:
+            yield from forest(np.concatenate(keys), np.concatenate(fps))
+
+    spread_out = classes.select("_fp").mapInArrow(spread, "cell long, _fp long")
     return spread_out.repartition("cell").sortWithinPartitions("cell").mapInArrow(join, "a long, b long")
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each ``key`` once and in ``n`` how many rows have it.
+
+    Keys of over a thousandth of the ``total`` rows (so at most a thousand) are looked up by broadcast and only the
+    others by a join, which no hot key can then tilt. Rows whose key is not in ``table`` are dropped.
+    """
+    hot = F.broadcast(table.where(F.col(n) * 1000 > total).drop(n))
+    cold = table.where(F.col(n) * 1000 <= total).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def near_duplicates(fingerprints: DataFrame, limit: int = 3) -> DataFrame:
     """(doc_id, _fp) -> (doc_id, _fp, component_id): the least doc_id reachable by links of at most ``limit`` bits.
 
-    ``fingerprints`` is read several times: checkpoint it first. Copies become one class by a pre-aggregated minimum,
-    only classes are linked, and fingerprints that hold over a thousandth of the rows (so at most a thousand) find their
-    class by a broadcast, the others by a join, which no hot key can then tilt. Rows of one doc_id count as linked: an id
-    with several fingerprints gives an edge from each of their classes to the id.
-    Null ids stand behind all others (ids must be under 2**62) and are a component_id only if all of the component are null.
+    ``fingerprints`` is read several times: checkpoint it first. Copies become one class by a pre-aggregated minimum, and
+    only classes are linked. Rows of one doc_id (any 64-bit number) are one document, so an id with several fingerprints
+    links them. A component without any id has a null component_id.
     """
     total = fingerprints.count()
-    nameless = F.shiftrightunsigned("_fp", 1).bitwiseOR(F.lit(1 << 62))
-    classes = fingerprints.groupBy("_fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = checkpoint(classes.select("_fp", "n", F.coalesce("least", nameless).alias("node")))
-    several = fingerprints.where("doc_id is not null").groupBy("doc_id").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).where("_low <> _high").select("doc_id")
-    shared = fingerprints.join(several, "doc_id").select("doc_id", "_fp").distinct().join(classes, "_fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    classes = checkpoint(fingerprints.groupBy("_fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    one = fingerprints.where("doc_id is not null").groupBy("doc_id").agg(F.min("_fp").alias("_low"), F.max("_fp").alias("_high")).where("_low <> _high")
+    shared = fingerprints.join(one, "doc_id").select(F.col("_fp").alias("a"), F.col("_low").alias("b")).where("a <> b").distinct()
     roots = connected_components(link_fingerprints(classes, limit).unionAll(shared))
-    root = F.coalesce("root", classes["node"])
-    of = classes.join(roots, "node", "left").select("_fp", "n", F.when(root < (1 << 62), root).alias("component_id"))
-    of = checkpoint(of)
-    hot = F.broadcast(of.where(F.col("n") * 1000 > total).select("_fp", "component_id"))
-    cold = of.where(F.col("n") * 1000 <= total).select("_fp", "component_id")
-    rest = fingerprints.join(hot.select("_fp"), "_fp", "left_anti").join(cold, "_fp")
-    return fingerprints.join(hot, "_fp").select("doc_id", "_fp", "component_id").unionAll(rest.select("doc_id", "_fp", "component_id"))
+    classes = checkpoint(classes.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left"))
+    linked = classes.where("root is not null")
+    groups = checkpoint(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_members")))
+    linked = lookup(linked.select("_fp", "n", "root"), groups, "root", "_members", classes.count())
+    of = checkpoint(linked.select("_fp", "n", "component_id").unionAll(classes.where("root is null").select("_fp", "n", "least")))
+    return lookup(fingerprints, of, "_fp", "n", total).select("doc_id", "_fp", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -188,7 +225,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = named.select(F.col(key).alias("id"), F.col("doc_id").isNull().alias("nameless"), F.col(row).alias("hash"), "text")
     found = checkpoint(with_fingerprint(found, ["nameless", "id", "hash"]))
     classes = checkpoint(found.groupBy("_fp").agg(F.min(F.struct("nameless", "id", "hash")).alias("best")))
-    roots = connected_components(link_fingerprints(classes.select("_fp", F.col("_fp").alias("node"))))
+    roots = connected_components(link_fingerprints(classes))
     best = classes.join(roots, classes["_fp"] == roots["node"], "left").groupBy(F.coalesce("root", "_fp").alias("root")).agg(F.min("best").alias("best"))
     kept = named.join(best.select(F.col("best.id").alias(key), F.col("best.hash").alias(row)), [key, row], "left_semi")
     one = Window.partitionBy(key, row).orderBy(row)

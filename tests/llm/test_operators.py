@@ -469,6 +469,40 @@ def test_links_of_random_points_brute_force(spark):
     assert got == want
 
 
+def test_links_in_large_cells_brute_force():
+    r = np.random.default_rng(11)
+    base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fp = np.unique(np.r_[base[r.integers(0, 40, 2500)] ^ (np.uint64(1) << r.integers(0, 64, 2500).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 2500).astype(np.uint64)), r.integers(0, 1 << 63, 900, dtype=np.uint64)])
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    for n in (40, 1500, len(fp)):
+        union = components.LocalUnion()
+        for a, b in simhash._links(np.zeros(n, np.int64), fp[:n], 3):
+            assert near[a, b].all()
+            union.add(a, b)
+        want, left = {}, set(range(n))
+        while left:
+            first = min(left)
+            front, left = [first], left - {first}
+            while front:
+                p = front.pop()
+                want[p] = first
+                got = left & set(np.flatnonzero(near[p]).tolist())
+                left -= got
+                front += got
+        assert {i: union.find(i) for i in range(n)} == want
+
+
+def test_simhash_of_any_id(spark):
+    a, b, c, d = (prose(i, 80) for i in range(50, 54))
+    big, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(big, a), (big - 1, a), (low, b), (None, b), (None, c), (13, c), (13, d), (5, d), (1 << 62, "x y"), (None, None)]
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(big, big - 1), (big - 1, big - 1), (low, low), (None, low), (None, 5), (13, 5), (13, 5), (5, 5), (1 << 62, 1 << 62), (None, None)]
+    assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(map(str, want))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(big - 1, a), (low, b), (13, c), (5, d), (1 << 62, "x y"), (None, None)]))
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(100)] + [(600, 601 + i) for i in range(300)] + [(None, 1), (5, 5)]
