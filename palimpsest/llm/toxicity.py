@@ -15,19 +15,21 @@ from palimpsest.llm.training import labelled_sample
 
 FOLDS, HELD = 5, 0
 BITS = 18
-#: Words kept per Python worker with their scores; then the store starts anew.
-KEPT_WORDS = 250_000
+#: Words kept per Python worker, of at most so many characters; then the store starts anew.
+KEPT_WORDS, KEPT_CHARS = 250_000, 40
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = ".,;:!?\"'()[]{}*#%&$-_ "
 
 
-def features_of(word: str) -> list[int]:
-    """Hashed features of a word: itself and its first 3, 4 and 5 letters."""
+def names_of(word: str) -> list[str]:
+    """Features of a word: itself and its first 3, 4 and 5 letters, marked by their number."""
     w = word.strip(_EDGE).lower()
-    if not w:
-        return []
-    names = ["w" + w, *(f"{n}{w[:n]}" for n in (3, 4, 5) if len(w) > n)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
+    return [w, *(f"{w[:n]} {n}" for n in (3, 4, 5) if len(w) > n)] if w else []
+
+
+def features_of(word: str) -> list[int]:
+    """Hashed features of a word."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names_of(word)]
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
@@ -35,6 +37,11 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text)]
 
 
+def words_of(text: str) -> set[str]:
+    """The words of a sentence, or of all sentences of a text: what white space and sentence ends part."""
+    return set(text.replace(".", " ").replace("!", " ").replace("?", " ").split())
+
+
 def log_clean(z: np.ndarray, bias: float) -> np.ndarray:
     """log(1 - P) of sentences by their scores z = bias + word weights, beyond the base rate sigmoid(bias): 0 for a sentence without weights."""
     return np.minimum(0.0, np.logaddexp(0, bias) - np.logaddexp(0, np.clip(z, -30, 30)))
@@ -49,8 +56,9 @@ class NoisyOr:
     standard errors above ``margin``), get a weight; so a few wrong labels teach nothing about rare words.
     """
 
-    def __init__(self, seed: int = 3, epochs: int = 10, rate: float = 0.3, decay: float = 1e-4, support: int = 3, margin: float = 1.5):
+    def __init__(self, seed: int = 3, epochs: int = 10, rate: float = 0.3, decay: float = 1e-4, support: int = 3, margin: float = 1.0):
         self.weights, self.bias = np.zeros(1 << BITS), -6.0
+        self.table: dict[str, float] = {}  # the weights by name, of the features that training met
         self.seed, self.epochs, self.rate, self.decay, self.support, self.margin = seed, epochs, rate, decay, support, margin
 
     def fit(self, rows: list[tuple[str, int]]) -> NoisyOr:
@@ -65,7 +73,7 @@ class NoisyOr:
         for text, y in rows:
             ids, at = array("i"), array("i")
             for k, (s, e) in enumerate(sentences_of(text)):
-                for w in set(text[s:e].split()):
+                for w in sorted(words_of(text[s:e])):
                     if (i := known.get(w)) is None:
                         i = known[w] = len(features)
                         features.append(features_of(w))
@@ -106,9 +114,51 @@ class NoisyOr:
                 b = float((pull * (p - base)).sum())
                 square += b * b
                 self.bias = min(-3.0, self.bias - self.rate * b / np.sqrt(square))
+        for w, i in known.items():
+            if keep[i]:
+                self.table.update((x, float(self.weights[f])) for x, f in zip(names_of(w), features[i], strict=True) if self.weights[f] > 0)
         return self
 
 
+class Scorer:
+    """A fitted model over whole texts. Each new word is weighed once; as nearly all weigh nothing, a text's words are parted from
+    those by one set difference, and only sentences with weighted words are looked into."""
+
+    def __init__(self, table: dict[str, float], bias: float):
+        self.table, self.bias = table, bias
+        self.heads = {x[:3] for x in table}
+        self.neutral: set[str] = set()
+        self.heavy: dict[str, float] = {}
+
+    def weighted(self, text: str) -> dict[str, float]:
+        """The words of the text that have a weight."""
+        found = {}
+        if len(self.neutral) + len(self.heavy) > KEPT_WORDS:
+            self.neutral.clear()
+            self.heavy.clear()
+        for w in words_of(text) - self.neutral:
+            if (x := self.heavy.get(w)) is None:
+                x = sum(self.table.get(f, 0.0) for f in names_of(w)) if w.strip(_EDGE).lower()[:3] in self.heads else 0.0
+                if len(w) <= KEPT_CHARS:
+                    self.heavy.update({w: x}) if x else self.neutral.add(w)
+            if x:
+                found[w] = x
+        return found
+
+    def judge(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+        """Score of the text, and (start, end, score) of its sentences with weighted words."""
+        if not (found := self.weighted(text)):
+            return 0.0, []
+        spans, z = [], []
+        for s, e in sentences_of(text):
+            sentence = text[s:e]
+            if any(w in sentence for w in found) and (here := sorted(found.keys() & words_of(sentence))):
+                spans.append((s, e))
+                z.append(self.bias + sum(found[w] for w in here))
+        clean = log_clean(np.array(z), self.bias)
+        return min(1.0, max(0.0, float(-np.expm1(clean.sum())))), [(*span, p) for span, p in zip(spans, (-np.expm1(clean)).tolist(), strict=True)]
+
+
 def score_toxicity(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text): doc_id, held_out, score (0 to 1), predicted, n_sentences, offending.
 
@@ -118,30 +168,19 @@ def score_toxicity(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> D
     """
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # 1 MB
+    sent = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def score(batches):
-        weights, bias = sent.value
-        known: dict[str, float] = {}
+        scorer = Scorer(*sent.value)
         for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for t in texts(b.column("text")):
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                spans = sentences_of(t)
-                z = np.full(len(spans), bias)
-                for k, (s, e) in enumerate(spans):
-                    for w in set(t[s:e].split()):
-                        if (x := known.get(w)) is None:
-                            x = known[w] = float(weights[features_of(w)].sum())
-                        z[k] += x
-                clean = log_clean(z, bias)
-                p, whole = -np.expm1(clean), float(-np.expm1(clean.sum()))
-                bad = np.flatnonzero(p >= threshold)
-                if not len(bad) and whole >= threshold:
-                    bad = np.array([int(p.argmax())])
-                rows.append((min(1.0, max(0.0, whole)), len(spans), [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in bad]))
+                whole, found = scorer.judge(t)
+                bad = [x for x in found if x[2] >= threshold]
+                if not bad and whole >= threshold:
+                    bad = [max(found, key=lambda x: x[2])]
+                rows.append((whole, len(SENTENCE.findall(t)), [{"start": s, "end": e, "score": p} for s, e, p in bad]))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], ["doc_id", "score", "n_sentences", "offending"])
 
@@ -160,27 +199,12 @@ def drop_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataF
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
     import pyarrow as pa
 
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
     columns = docs.columns
 
     def keep(batches):
-        weights, bias = sent.value
-        known: dict[str, float] = {}
+        scorer = Scorer(*sent.value)
         for b in (part for whole in batches for part in slices(whole)):
-            good = []
-            for t in texts(b.column("text")):
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                clean = 0.0
-                for s, e in sentences_of(t):
-                    z = 0.0
-                    for w in set(t[s:e].split()):
-                        if (x := known.get(w)) is None:
-                            x = known[w] = float(weights[features_of(w)].sum())
-                        z += x
-                    if z:
-                        clean += float(log_clean(bias + z, bias))
-                good.append(-np.expm1(clean) < threshold)
-            yield b.filter(pa.array(good, pa.bool_())).select(columns)
+            yield b.filter(pa.array([scorer.judge(t)[0] < threshold for t in texts(b.column("text"))], pa.bool_())).select(columns)
 
     return docs.mapInArrow(keep, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import crc_fold
+from palimpsest.llm.common import checkpoint, crc_fold
 
 #: Most rows of a class, and code points for each of them on average, that a model learns from.
 PER_CLASS, MEAN_CHARS = 2500, 8000
@@ -27,9 +27,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for x in (0, 1):
         part = rows.where(F.col("_label") == x).orderBy(order, "doc_id").limit(2 * per_class).select("doc_id", "_label")
         ids = part if ids is None else ids.unionAll(part)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    found = found.withColumns({"_size": F.length("text"), "_hash": F.xxhash64("text")})
-    sizes = found.select("doc_id", "_size", "_hash").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_label").agg(F.min(F.struct("_size", "_hash")).alias("_least"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    found = checkpoint(found.withColumns({"_size": F.length("text"), "_hash": F.xxhash64("text")}))  # the only pass over docs
+    sizes = found.groupBy("doc_id", "_label").agg(F.min(F.struct("_size", "_hash")).alias("_least"))
     sizes = sizes.select("_label", order.alias("_order"), "doc_id", "_least._size", "_least._hash").collect()
     most, picked = per_class * mean_chars, []
     for x in (0, 1):
