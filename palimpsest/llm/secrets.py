@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections.abc import Iterable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -17,34 +18,24 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, so the same as [0-9a-f]+ of which shorter matches are dropped
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Least log-likelihood ratio of a span, in all and for each character.
-LEAST, EACH = 10.0, 0.35
+#: Shortest span that the models find, and its least log-likelihood ratio in all and for each character.
+SHORTEST, LEAST, EACH = 16, 14.0, 0.6
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = {c: i for i, c in enumerate(ALPHABET)}
 EDGE = len(ALPHABET)
 
-_PLAIN = """the and that with from this have which their other about would there these people could between
-account address array async await balance batch binary block buffer build cache callback channel client cluster
-column command commit compare compile config connect container content context control convert counter create current
-cursor customer data database debug decode default delete deploy detail device dialog directory document domain download
-driver element email enable encode engine entity entry error event example execute export extension factory feature field file
-filter float folder format function gateway generate global graph group handler header height helper hidden history host image
-import index initial input insert instance integer interface internal invoice item iterator join kernel label language layout
-length level library license limit line link list listener local location logger login lookup manager mapping master match
-matrix memory merge message method metric middleware mobile model module monitor mount network node notification number object
-offset option order output owner package page parameter parent parser partition path pattern payload payment pending performance
-period permission pipeline pixel platform plugin point policy pool position prefix preview price primary priority private process
-product profile project property protocol provider public query queue random range reader record recovery reference region
-register release remote remove render repository request required reset resource response result return review role root route
-router sample scanner schedule schema scope screen script search section segment select sequence serial server service session
-setting shadow shared shipping signal simple single size snapshot socket source special stage standard start state static status
-storage stream string struct style subject submit success summary support symbol syntax system table target task template
-thread threshold timeout timestamp title total track transaction transfer transform trigger tuple type unique update upload user
-utility valid value variable vector version video view virtual visible volume warning watch weight widget width window worker
-wrapper writer year zone der die und nicht sein haben werden schaft keit ung lich heit mente cion ado dora ante ment tion eaux
-elle ique oir une des les sur dans pour avec para como una los las del por ing ent ion ate ther ering anth ndtion thin onst er""".split()
+#: Ordinary words: of general English, German, French and Spanish, and of identifiers.
+_PLAIN = """the and that with from this have which their other about would there people could between after before where while
+account address array balance batch binary block buffer build cache channel client cluster column command commit compare config connect
+content context control counter create current customer data database decode default delete detail device directory document domain
+download element email engine entity error event example execute export factory feature field file filter folder format function
+gateway graph group handler header height helper history image index initial input instance interface item kernel label language
+length library license limit line list location logger manager matrix memory message method module network number object offset
+option order output package parameter parser partition path pattern payment platform policy position price private process product
+project protocol provider query queue random range reader record request response result schedule schema search section server
+der die und nicht haben werden arbeit freiheit sprache les des avec pour dans elle monde una los para como ciudad mundo palabra""".split()
 
 
 def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
@@ -65,7 +56,7 @@ def labelled_samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
 
 
 class MarkovPair:
-    """First-order character models of both kinds; ``score`` is the log-likelihood ratio, random over ordinary."""
+    """First-order character models of both kinds; ``ratios`` are the log-likelihood ratios of the characters, random over ordinary."""
 
     def __init__(self, samples: Iterable[tuple[str, int]], smoothing: float = 0.5):
         size = len(ALPHABET) + 1
@@ -81,13 +72,28 @@ class MarkovPair:
         logs = [[[math.log(x / sum(row)) for x in row] for row in table] for table in counts]
         self.ratio = [[p - o for p, o in zip(a, b, strict=True)] for a, b in zip(logs[1], logs[0], strict=True)]
 
-    def score(self, text: str) -> float:
-        last, total, ratio = EDGE, 0.0, self.ratio
+    def ratios(self, text: str) -> list[float]:
+        last, out, ratio = EDGE, [], self.ratio
         for c in text:
             k = CODE[c]
-            total += ratio[last][k]
+            out.append(ratio[last][k])
             last = k
-        return total
+        return out
+
+    def score(self, text: str) -> float:
+        return sum(self.ratios(text))
+
+
+def best_segment(ratios: list[float], shortest: int) -> tuple[float, int, int]:
+    """(sum, start, end) of the segment of at least ``shortest`` ratios whose sum is greatest; the first and then longest of equals."""
+    sums = [0.0, *accumulate(ratios)]
+    best, low = (-math.inf, 0, 0), 0
+    for end in range(shortest, len(sums)):
+        if sums[end - shortest] < sums[low]:
+            low = end - shortest
+        if sums[end] - sums[low] >= best[0] and (sums[end] - sums[low] > best[0] or low == best[1]):
+            best = (sums[end] - sums[low], low, end)
+    return best
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -103,15 +109,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: MarkovPair, least: float, each: float) -> list[tuple[int, int, int]]:
-    """Runs of 16+ key characters that meet no base span and look random: ``least`` in all and ``each`` per character."""
+    """Stretches of SHORTEST and more key characters outside all base spans that look random: ``least`` in all and ``each`` per character.
+
+    Of each run of key characters between base spans, and then of what is left of it on both sides, the stretch of the
+    greatest log-likelihood ratio is taken, so that ordinary text in the same run hides nothing.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, _, b in base):
-            continue
-        score = model.score(m[0])
-        if score >= least and score >= each * (e - s):
-            found.append((s, 3, e))
+        rest, at = [], m.start()
+        for a, _, b in sorted(x for x in base if x[0] < m.end() and m.start() < x[2]):
+            rest.append((at, a))
+            at = max(at, b)
+        rest.append((at, m.end()))
+        while rest:
+            s, e = rest.pop()
+            if e - s < SHORTEST:
+                continue
+            score, a, b = best_segment(model.ratios(text[s:e]), SHORTEST)
+            if score >= least and score >= each * (b - a):
+                found.append((s + a, 3, s + b))
+                rest += [(s, s + a), (s + b, e)]
     return found
 
 
