@@ -14,7 +14,9 @@ from palimpsest.llm.common import slices
 #: Two 31-bit primes and bases: products fit in 64 bits, and both together make a 62-bit hash.
 MODULI = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-WINDOW, SKETCH = 16, 64
+SKETCH = 64
+#: Span widths, each for texts of fewer code points than stated; the first for all.
+WIDTHS = ((16, None), (4, 64), (2, 16))
 
 
 class _Powers:
@@ -97,9 +99,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(ph: PrefixHash) -> np.ndarray:
-    """The SKETCH least distinct span hashes, as 32-bit numbers in order."""
-    h = (mixed(ph.spans_of(WINDOW)) >> np.uint64(32)).astype("<u4")
+def sketch(ph: PrefixHash, width: int) -> np.ndarray:
+    """The SKETCH least distinct hashes of spans of that width, as 32-bit numbers in order."""
+    h = (mixed(ph.spans_of(width)) >> np.uint64(32)).astype("<u4")
     if len(h) > 4 * SKETCH:
         least = np.unique(np.partition(h, 4 * SKETCH)[: 4 * SKETCH])
         if len(least) >= SKETCH:
@@ -107,26 +109,29 @@ def sketch(ph: PrefixHash) -> np.ndarray:
     return np.unique(h)[:SKETCH]
 
 
-def fingerprint(ph: PrefixHash, least: np.ndarray) -> str:
-    """Length, whole-text hash and sketch: equal for equal texts, and enough to judge likeness."""
+def fingerprint(ph: PrefixHash) -> str:
+    """Length, whole-text hash and sketches of each width that the text has: equal for equal texts, and enough to judge likeness."""
     a, b = ph.span(0, ph.n)
-    return f"{ph.n:x}.{a:08x}{b:08x}.{base64.b64encode(least.tobytes()).decode()}"
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared part of the spans of both texts (Dice), estimated from the least of their union; 1 for two empty texts."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:SKETCH]
-    j = np.count_nonzero(np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)) / len(union)
-    return 2 * j / (1 + j)
+    sketches = [sketch(ph, w) for w, below in WIDTHS if below is None or ph.n < below]
+    return ".".join([f"{ph.n:x}", f"{a:08x}{b:08x}", *(base64.b64encode(x.tobytes()).decode() for x in sketches)])
 
 
 def likeness_of(a: str, b: str) -> float:
-    """Likeness of two fingerprint strings."""
-    if a.rsplit(".", 1)[0] == b.rsplit(".", 1)[0]:
+    """Likeness of two fingerprints: the shared part of the spans of both texts (Dice), estimated from the least of their union.
+
+    Spans of the least width that both have; 1 for equal texts, 0 for an empty one and another.
+    """
+    a, b = a.split("."), b.split(".")
+    if a[:2] == b[:2]:
         return 1.0
-    return likeness(*(np.frombuffer(base64.b64decode(x.rsplit(".", 1)[1]), dtype="<u4") for x in (a, b)))
+    x, y = (np.frombuffer(base64.b64decode(f[min(len(a), len(b)) - 1]), dtype="<u4") for f in (a, b))
+    if not len(x) or not len(y):
+        return 0.0
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:  # else both sketches are whole
+        union = union[:SKETCH]
+    j = np.count_nonzero(np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)) / len(union)
+    return 2 * j / (1 + j)
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -143,7 +148,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    ranges = 4 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = docs._jdf.queryExecution().toRdd().getNumPartitions()  # grows with the input's bytes
+    ranges = 4 * min(1 << 14, max(4, parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) or []
     cuts = np.array(sorted({int(x) for x in cuts}), dtype=np.int64)
     lowest = np.iinfo(np.int64).min
@@ -190,22 +196,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 if extra and held is None:
                     continue  # a further row of the same first id
                 ph = PrefixHash(text or "")
-                least = sketch(ph)
+                mark = fingerprint(ph)
                 if held:
-                    rows.append(row(*held, ph, least))
-                held = None if extra else (doc_id, ph, least)
+                    rows.append(row(*held, ph, mark))
+                held = None if extra else (doc_id, ph, mark)
             names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    def row(doc_id, ph, least, next_ph, next_least):
+    def row(doc_id, ph, mark, next_ph, next_mark):
         half = ph.n // 2
         text = ph.text[: ph.n - half] + next_ph.text[:half]
         edited = PrefixHash(text)
-        edited_least = sketch(edited)
-        a, e, n = fingerprint(ph, least), fingerprint(edited, edited_least), fingerprint(next_ph, next_least)
-        near = [1.0 if a.rsplit(".", 1)[0] == x.rsplit(".", 1)[0] else likeness(least, y) for x, y in ((e, edited_least), (n, next_least))]
-        return doc_id, ph.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), a, e, *near, ph.extension(0, edited, 0), ph.extension(0, next_ph, 0)
+        edited_mark = fingerprint(edited)
+        digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc_id, ph.n, digest, mark, edited_mark, likeness_of(mark, edited_mark), likeness_of(mark, next_mark), ph.extension(0, edited, 0), ph.extension(0, next_ph, 0)
 
     return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long")

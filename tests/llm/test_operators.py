@@ -181,6 +181,29 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.compare_with_next(empty).count() == 0
 
 
+def exact_likeness(a, b):
+    if a == b:
+        return 1.0
+    n = max(len(a), len(b))
+    w = 2 if n < 16 else 4 if n < 64 else 16
+    x, y = ({t[i : i + min(w, len(t))] for i in range(max(1, len(t) - w + 1))} if t else set() for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+
+def test_likeness_against_exact_spans(spark):
+    r, texts = random.Random(14), ["", "a", "ab", "abc", "hello", "world", "the quick brown"]
+    texts += ["".join(r.choice("abcde ") for _ in range(r.randint(3, 70))) for _ in range(60)] + [prose(r.randint(0, 30), r.randint(20, 600)) for _ in range(40)]
+    got = fingerprints.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        t, n = texts[x.doc_id], texts[(x.doc_id + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        for near, other in ((x.near_edited, edited), (x.near_next, n)):
+            assert abs(near - exact_likeness(t, other)) <= (1e-9 if len(t) < 60 and len(other) < 60 else 0.25), (t, other)
+        assert x.near_edited > 0 or len(t) in (0, 2)
+        assert x.near_edited == fingerprints.likeness_of(x.fingerprint, x.edited_fingerprint)
+
+
 def test_prefix_hash_brute_force():
     r = random.Random(2)
     for _ in range(40):
