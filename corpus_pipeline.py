@@ -6,14 +6,13 @@ of documents. ``run`` writes each stage's rows as Parquet in the shared folder a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing, packing, queries, secrets, simhash, toxicity
-from palimpsest.llm.common import table
+from palimpsest.llm.common import shared_folder, table
 
 #: A tokenizer, a trained classifier and XXH64 are beyond SQL.
 ORACLE_SQL = None
@@ -53,14 +52,8 @@ STAGES = [
 ]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline")
-    return f"{top}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, top = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, top = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         void = {c: F.col(c).cast("string") for c, kind in out.dtypes if kind == "void"}
