@@ -330,6 +330,69 @@ def test_urls(spark):
     assert urls.filter_urls(captures.limit(0), entries).count() == 0
 
 
+def test_urls_by_the_instant_brute_force(spark):
+    import datetime as dt
+
+    r = random.Random(15)
+    at = lambda: dt.datetime(2024, 1, 1 + r.randint(0, 2), r.choice((0, 6, 18)), 0)
+    domains = ["b.com", "a.b.com", "x.a.b.com", "c.org"]
+    entries = [(r.choice(domains), at(), r.choice(("add", "remove"))) for _ in range(60)]
+    captures = [(i, f"https://{r.choice([*domains, 'z.c.org', 'd.net'])}/p", at()) for i in range(200)]
+    got = urls.filter_urls(spark.createDataFrame(captures, "page_id long, url string, fetched_on timestamp"), spark.createDataFrame(entries, "domain string, listed_on timestamp, action string")).collect()
+    want = []
+    for i, url, t in captures:
+        labels, hit = url.split("/")[2].split("."), None
+        for n in range(len(labels) - 1):
+            d = ".".join(labels[n:])
+            past = [(e[1], e[2]) for e in entries if e[0] == d and e[1] <= t]
+            if past and max(past)[1] == "add":
+                hit = (d, max(past)[0])
+                break
+        want.append((i, hit is not None, *(hit or (None, None))))
+    assert sorted((x.page_id, x.blocked, x.matched, x.listed_on) for x in got) == want
+
+
+def brute_cosine(match, text, template):
+    x, y = licenses.terms(text), licenses.terms(template)
+    w = lambda t: match.idf.get(t, match.rarest)
+    dot = sum(n * y[t] * w(t) ** 2 for t, n in x.items())
+    return dot / (sum((n * w(t)) ** 2 for t, n in x.items()) * sum((n * w(t)) ** 2 for t, n in y.items())) ** 0.5
+
+
+def test_license_windows_brute_force():
+    templates = [("A", "licensed under the alpha license version 2.0"), ("B", "licensed under the beta license"), ("A", "alpha public license")]
+    match = licenses.Matcher(templates, {"under": 70, "the": 90, "license": 4}, 100)
+    r = random.Random(16)
+    for _ in range(60):
+        words = [r.choice(["licensed", "under", "the", "alpha", "beta", "license", "version", "2.0", "public", "lorem", "ipsum", "dolor\n"]) for _ in range(r.randint(1, 40))]
+        text = " ".join(words)
+        found = [(m.start(), m.end()) for m in licenses.WORD.finditer(text)]
+        hits = [m.span() for m in licenses.TRIGGER.finditer(text)]
+        best = 0.0
+        for _, t in templates:
+            n = sum(licenses.terms(t).values())
+            for i in range(len(found)):
+                for j in {min(len(found), i + n)}:
+                    s, e = found[i][0], found[j - 1][1]
+                    if (j - i == n or i == 0) and any(s < b and a < e for a, b in hits):
+                        best = max(best, brute_cosine(match, text[s:e], t))
+        score, name, s, e = match.scan(text)
+        assert score >= best - 1e-9
+        if name:
+            assert abs(score - max(brute_cosine(match, text[s:e], t) for n, t in templates if n == name)) < 1e-9
+        else:
+            assert not hits
+
+
+def test_license_ties_and_long_files(spark):
+    text = "Licensed under the ISC License"
+    long = prose(61, 3000) + "\n" + text + "\n" + prose(62, 200_000)
+    files = spark.createDataFrame([(1, "d/LICENSE", text), (2, "d/COPYING", "Released under the MIT License"), (3, "d/e/f.py", "x"), (4, "g/h.c", long), (5, "g/i.c", "y")], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(files).collect()}
+    assert got[3].license == "ISC" and got[3].inherited_from == "d"  # equal scores: the lesser name
+    assert got[4].license == "ISC" and long[got[4].span_start : got[4].span_end] == text and got[5].license is None
+
+
 def labelled(spark, n, make):
     rows, labels = [], []
     for i in range(n):
@@ -359,6 +422,27 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, toxicity.fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_scores_brute_force():
+    r = random.Random(17)
+    rows = [(prose(i, 30) + (r.choice([" what a nitwit! ", "\nBlasted blighter. "]) * r.randint(1, 3) if i % 3 == 0 else " ") + prose(i + 1000, 30), int(i % 3 == 0)) for i in range(200)]
+    model = toxicity.NoisyOr().fit(rows)
+    scorer = toxicity.Scorer(model.table, model.bias)
+    base = 1 / (1 + np.exp(-model.bias))
+    for text, _ in [*rows, ("", 0), ("nitwit", 1), ("a.b!nitwit?c\n" * 50, 1)]:
+        clean, spans = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+[.!?]*", text):
+            words = {w for w in re.split(r"[\s.!?]+", m[0]) if w}
+            z = sum(model.table.get(f, 0.0) for w in words for f in toxicity.names_of(w))
+            if z:
+                p = 1 - min(1.0, (1 - 1 / (1 + np.exp(-np.clip(model.bias + z, -30, 30)))) / (1 - base))
+                clean *= 1 - p
+                spans.append((m.start(), m.end(), p))
+        score, found = scorer.judge(text)
+        assert abs(score - (1 - clean)) < 1e-6 and [x[:2] for x in found] == [x[:2] for x in spans]
+        assert all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(found, spans, strict=True))
+    assert scorer.judge("nitwit")[0] > 0.5
+
+
 def test_toxicity_of_long_texts(spark):
     def make(i):
         bad = i % 4 == 0
@@ -401,6 +485,44 @@ def test_quality(spark, docs, empty):
     assert quality.score_quality(empty, quality.fit_quality(empty, labels.limit(0))).count() == 0
 
 
+def test_quality_ranks_brute_force():
+    r = np.random.default_rng(18)
+    x = r.normal(size=(300, 5))
+    y = (x[:, 0] - x[:, 1] + r.normal(size=300) * 0.3 > 0.4).astype(int)
+    model = quality.BradleyTerry().fit(x, y, float(1 - y.mean()))
+    s = (x - model.mean) / model.scale @ model.w
+    good, poor = s[y == 1], s[y == 0]
+    assert (good[:, None] > poor[None, :]).mean() > 0.97  # the share of preference pairs in the right order
+    assert abs((s < model.cut).mean() - (1 - y.mean())) < 0.01  # the quantile
+    assert np.allclose(model.probability(x), 1 / (1 + np.exp(-(s - model.cut) / model.spread)))
+    text = "Ab, cd!\nab ab 12\n".encode()
+    got = quality.features_of(text)
+    kinds = [quality._CLASS[b] for b in text]
+    for a in range(quality.KINDS):
+        for b in range(quality.KINDS):
+            n = sum(p == a and q == b for p, q in zip(kinds, kinds[1:], strict=False))
+            assert np.isclose(got[a * quality.KINDS + b], np.log1p(1000 * n / len(text)))
+    assert np.allclose(got[quality.KINDS**2 :][:3], (4 / 5, 1 / 5, 3 / 3))
+
+
+def test_every_query_on_the_tables(spark):
+    """Each opN_ query over the smallest tables; those with SQL against DuckDB."""
+    con = duckdb.connect()
+    sf = "/root/testdata/sf0.001"
+    for name in ("documents", "embeddings", "pages", "labels"):
+        con.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    n = con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    for name, query in queries.QUERIES.items():
+        got = query(spark, sf)
+        if name in queries.ORACLES:
+            want = con.sql(queries.ORACLES[name])
+            assert sorted(got.columns) == sorted(want.columns)
+            assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall())), name
+        else:
+            rows = got.count()
+            assert rows >= n if name.startswith("op4_") else rows == n, name
+
+
 def test_mixing_against_sql(spark, docs, rows, empty):
     documents = pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"})  # noqa: F841  DuckDB reads it
     want = duckdb.sql(queries.OP8_SQL).fetchall()
