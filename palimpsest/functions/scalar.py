@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import NamedTuple
 
 from palimpsest.dialect.lexer import SqlError, duration
@@ -530,13 +531,12 @@ def trim(side: str):
 def substring(a: E, start: E, n: E | None = None) -> E:
     if any(x is not None and x.type == "null" for x in (a, start, n)):
         return NULL
-    if a.type == "blob" and not n:
-        return E(f"substring({a.sql}, CAST({start.sql} AS INT))", "blob")
-    s, p = as_text(a), f"CAST({start.sql} AS INT)"
+    s, nothing, kind = (a.sql, "x''", "blob") if a.type == "blob" else (as_text(a), "''", "text")
+    at = f"CAST({start.sql} AS INT)"
     if n is None:
-        return E(f"CASE WHEN {p} = 0 THEN {s} ELSE substring({s}, {p}) END", "text")
+        return E(f"CASE WHEN {at} = 0 THEN {nothing} ELSE substring({s}, {at}) END", kind)
     k = f"CAST({n.sql} AS INT)"
-    return E(f"CASE WHEN {k} < 0 THEN raise_error('Invalid end index') WHEN {p} > 0 THEN substring({s}, {p}, {k}) WHEN {p} = 0 THEN substring({s}, 1, greatest(0, {k} - 1)) ELSE substring({s}, {p}, {k}) END", "text")
+    return E(f"CASE WHEN {k} < 0 THEN raise_error('Invalid end index') WHEN {at} = 0 THEN {nothing} ELSE substring({s}, {at}, {k}) END", kind)
 
 
 def like(kind: str, value: E, pattern: E, escape: E | None = None) -> E:
@@ -565,8 +565,6 @@ def like(kind: str, value: E, pattern: E, escape: E | None = None) -> E:
 
 def wildcards(pattern: str, many: str, one: str) -> str:
     """A pattern with two wild cards as a regular expression."""
-    import re
-
     return "^" + "".join("[^\\n]*" if c == many else "[^\\n]" if c == one else re.escape(c) for c in pattern) + "\\z"
 
 
@@ -673,7 +671,15 @@ def to_interval(a: E) -> E:
 
 
 ISO = "^P(?=[0-9T])(?:([0-9]+)Y)?(?:([0-9]+)M)?(?:([0-9]+)W)?(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9.]+)S)?)?$"
-_STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "j": "DDD", "y": "yy", "B": "MMMM", "b": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "f": "SSSSSS", "e": "d"}
+#: Directives as Spark's date patterns, as other directives, and as expressions of a timestamp.
+_STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "j": "DDD", "y": "yy", "B": "MMMM", "b": "MMM", "h": "MMM", "A": "EEEE", "a": "EEE", "p": "a", "I": "hh", "f": "SSSSSS"}
+_COMBINED = {"F": "%Y-%m-%d", "T": "%H:%M:%S", "D": "%m/%d/%y", "R": "%H:%M", "r": "%I:%M:%S %p", "c": "%a %b %e %H:%M:%S %Y", "x": "%m/%d/%y", "X": "%H:%M:%S", "n": "\n", "t": "\t", "z": "+0000", "Z": "UTC"}
+_COMPUTED = {
+    "s": "CAST(unix_seconds({0}) AS STRING)", "w": "CAST(dayofweek({0}) - 1 AS STRING)", "u": "CAST((dayofweek({0}) + 5) % 7 + 1 AS STRING)",
+    "U": "lpad((dayofyear({0}) + 7 - dayofweek({0})) div 7, 2, '0')", "W": "lpad((dayofyear({0}) + 6 - (dayofweek({0}) + 5) % 7) div 7, 2, '0')", "V": "lpad(weekofyear({0}), 2, '0')",
+    "G": "CAST(extract(YEAROFWEEK FROM {0}) AS STRING)", "g": "lpad(extract(YEAROFWEEK FROM {0}) % 100, 2, '0')", "C": "lpad(year({0}) div 100, 2, '0')",
+    "e": "lpad(day({0}), 2, ' ')", "k": "lpad(hour({0}), 2, ' ')", "l": "lpad((hour({0}) + 11) % 12 + 1, 2, ' ')",
+}
 
 
 def strftime(fmt: E, a: E) -> E:
@@ -682,34 +688,16 @@ def strftime(fmt: E, a: E) -> E:
     if not fmt.is_const:
         raise SqlError("Invalid argument types: STRFTIME needs a constant format")
     when = to_timestamp(a).sql if a.type != "time" else f"CAST(concat('1970-01-01 ', CAST({a.sql} AS STRING)) AS TIMESTAMP)"
-    parts, plain, s, i = [], "", fmt.const, 0
-
-    def flush():
-        nonlocal plain
-        if plain:
-            parts.append(text(plain))
-        plain = ""
-
-    while i < len(s):
-        if s[i] == "%" and i + 1 < len(s):
-            c = s[i + 1]
-            i += 2
-            if c == "%":
-                plain += "%"
-                continue
-            flush()
-            if c == "s":
-                parts.append(f"CAST(unix_seconds({when}) AS STRING)")
-            elif c == "w":
-                parts.append(f"CAST(dayofweek({when}) - 1 AS STRING)")
-            elif c in _STRFTIME:
-                parts.append(f"date_format({when}, '{_STRFTIME[c]}')")
-            else:
-                raise SqlError(f"Invalid format: %{c}")
+    parts = []
+    for plain, c in re.findall(r"([^%]+|%$)|%(.)", re.sub("%(.)", lambda m: _COMBINED.get(m[1], m[0]), fmt.const, flags=re.DOTALL), re.DOTALL):
+        if plain or c == "%":
+            parts.append(text(plain or "%"))
+        elif c in _COMPUTED:
+            parts.append(_COMPUTED[c].format(when))
+        elif c in _STRFTIME:
+            parts.append(f"date_format({when}, '{_STRFTIME[c]}')")
         else:
-            plain += s[i]
-            i += 1
-    flush()
+            raise SqlError(f"Invalid format: %{c}")
     return E(f"concat({', '.join(parts)})" if parts else "''", "text")
 
 

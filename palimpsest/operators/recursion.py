@@ -11,11 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 MOST_ROUNDS = 10_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; one of our own only where none is set and driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="palimpsest")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder; in one of our own only where none is set."""
+    """Cut the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

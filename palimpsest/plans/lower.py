@@ -26,8 +26,12 @@ class Rel:
 
 @dataclass
 class Scope:
+    """What a query's expressions can name. Of a SELECT also its FROM text, and what it carries from further out to its subqueries."""
+
     rels: list[Rel]
     parent: Scope | None = None
+    source: str | None = None
+    carried: dict[str, tuple[str, str, str]] | None = None  # outer expression -> alias, its distinct values, how this query sees it
 
 
 @dataclass
@@ -219,39 +223,44 @@ class Lowering:
     # -- SELECT
 
     def select(self, s: Select, outer, ctes, q: Query) -> Lowered:
-        scope = Scope([], outer)
-        source = self.sources(s.sources, scope, ctes)
+        scope = Scope([], outer, carried={})
+        scope.source = self.sources(s.sources, scope, ctes)
         items = self.items(s, scope, ctes)
         grouped = s.group is not None or s.having is not None or any(has_aggregate(e) for e, _ in s.items if e[0] != "star") or any(has_aggregate(e) for e, _ in q.order)
         columns = [(n, e.type) for n, e in items]
-        sql = "SELECT " + "DISTINCT " * s.distinct + ", ".join(f"{fx.null_of(e.type) if e.type == 'null' else e.sql} AS {quote(n)}" for n, e in items)
-        if source:
-            sql += f" FROM {source}"
-        if s.where is not None:
-            if has_aggregate(s.where):
-                raise SqlError("Cannot use aggregate functions in WHERE")
-            sql += f" WHERE {self.condition(s.where, scope, ctes)}"
-        if s.group:
-            sql += f" GROUP BY {', '.join(self.group_key(e, scope, ctes) for e in s.group)}"
-        if s.having is not None:
-            sql += f" HAVING {fx.boolean(self.expr(s.having, scope, ctes))}" if source or s.group else f" HAVING {fx.boolean(self.expr(s.having, scope, ctes))}"
+        if s.where is not None and has_aggregate(s.where):
+            raise SqlError("Cannot use aggregate functions in WHERE")
+        tests = [self.condition(s.where, scope, ctes)] if s.where is not None else []
+        group = [self.group_key(e, scope, ctes) for e in s.group or []]
+        having = f" HAVING {fx.boolean(self.expr(s.having, scope, ctes))}" if s.having is not None else ""
         if grouped:
             self.check_grouping(s, scope)
-        if q.order:
-            keys = []
-            for e, down in q.order:
-                n = self.position(e, columns)
-                if n is not None:
-                    key = str(n + 1)
-                elif s.distinct:
-                    raise SqlError("Invalid ORDER BY expression")
-                else:
-                    if e[0] == "name" and not self.known(e[1], scope):
-                        raise SqlError(f"Cannot resolve ORDER BY column: {'.'.join(e[1])}")
-                    key = self.expr(e, scope, ctes).sql
-                keys.append(f"{key} {'DESC' if down else 'ASC'}")
-            sql += f" ORDER BY {', '.join(keys)}"
-        return Lowered(sql, columns)
+        order = self.order_keys(s, q, columns, scope, ctes)
+        # a subquery sees one query up only: what is further out comes as distinct values, joined by equality
+        carried = list(scope.carried.values())
+        sources = [f"({values}) AS {a}(k_)" for a, values, _ in carried] + ([scope.source] if scope.source else [])
+        tests += [f"{a}.k_ <=> {seen}" for a, _, seen in carried]
+        group += [f"{a}.k_" for a, *_ in carried] if group else []
+        sql = "SELECT " + "DISTINCT " * s.distinct + ", ".join(f"{fx.null_of(e.type) if e.type == 'null' else e.sql} AS {quote(n)}" for n, e in items)
+        sql += f" FROM {' CROSS JOIN '.join(sources)}" if sources else ""
+        sql += f" WHERE {' AND '.join(tests)}" if tests else ""
+        sql += f" GROUP BY {', '.join(group)}" if group else ""
+        return Lowered(sql + having + order, columns)
+
+    def order_keys(self, s: Select, q: Query, columns, scope: Scope, ctes) -> str:
+        keys = []
+        for e, down in q.order:
+            n = self.position(e, columns)
+            if n is not None:
+                key = str(n + 1)
+            elif s.distinct:
+                raise SqlError("Invalid ORDER BY expression")
+            else:
+                if e[0] == "name" and not self.known(e[1], scope):
+                    raise SqlError(f"Cannot resolve ORDER BY column: {'.'.join(e[1])}")
+                key = self.expr(e, scope, ctes).sql
+            keys.append(f"{key} {'DESC' if down else 'ASC'}")
+        return f" ORDER BY {', '.join(keys)}" if keys else ""
 
     def group_key(self, e, scope, ctes) -> str:
         if has_aggregate(e):
@@ -432,27 +441,44 @@ class Lowering:
 
     def find(self, path: list[str], scope: Scope | None) -> E | None:
         """A column by its longest known prefix, then steps into it; from the innermost query outwards."""
+        between = []
         while scope is not None:
-            if len(path) >= 2:
-                for r in scope.rels:
-                    if r.name == path[0]:
-                        e = dict(r.columns).get(path[1]) or r.hidden.get(path[1])
-                        if e is not None:
-                            return self.steps(e, path[2:])
-            found = [e for r in scope.rels for n, e in r.columns if n == path[0]]
-            if found:
-                return self.steps(found[0], path[1:])
-            hidden = [r.hidden[path[0]] for r in scope.rels if path[0] in r.hidden]
-            if hidden:
-                return self.steps(hidden[0], path[1:])
+            found = self.within(path, scope)
+            if found is not None:
+                return self.carry(found, between[1:], scope)
+            between.append(scope)
+            scope = scope.parent
+        return None
+
+    def within(self, path: list[str], scope: Scope) -> E | None:
+        if len(path) >= 2:
             for r in scope.rels:
                 if r.name == path[0]:
-                    whole = fx.object_of(r.columns)
-                    if len(path) == 1:
-                        return whole
-            scope = scope.parent
+                    e = dict(r.columns).get(path[1]) or r.hidden.get(path[1])
+                    if e is not None:
+                        return self.steps(e, path[2:])
+        found = [e for r in scope.rels for n, e in r.columns if n == path[0]]
+        if found:
+            return self.steps(found[0], path[1:])
+        hidden = [r.hidden[path[0]] for r in scope.rels if path[0] in r.hidden]
+        if hidden:
+            return self.steps(hidden[0], path[1:])
+        for r in scope.rels:
+            if r.name == path[0] and len(path) == 1:
+                return fx.object_of(r.columns)
         return None
 
+    def carry(self, e: E, between: list[Scope], owner: Scope) -> E:
+        """``e`` of a query two or more levels up, by way of the queries between: each joins its distinct values on equality."""
+        seen = e
+        for scope in reversed(between):
+            if scope.carried is None or not owner.source:
+                raise SqlError("Cannot correlate through this query to one further out")
+            if e.sql not in scope.carried:
+                scope.carried[e.sql] = (self.alias(), f"SELECT DISTINCT {e.sql} FROM {owner.source}", seen.sql)
+            seen = E(f"{scope.carried[e.sql][0]}.k_", e.type)
+        return seen
+
     def steps(self, e: E, path: list[str]) -> E:
         for p in path:
             e = fx.access(e, ("key", p))

@@ -7,12 +7,12 @@ were added in another order compare equal.
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.operators.recursion import shared_folder
 from palimpsest.session import Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -230,12 +230,18 @@ both("agg_object_agg", "SELECT o.r AS region_key, o.x.NATION_1 AS one FROM (SELE
 both("agg_by_expression", "SELECT n_nationkey % 3 AS k, COUNT(*) AS n FROM nation GROUP BY n_nationkey % 3 HAVING COUNT(*) > 8")
 both("having_no_group", "SELECT COUNT(*) AS n FROM orders HAVING COUNT(*) > 1")
 
+# -- correlation through more than one query
+
+both("corr_skip_level", "SELECT c.c_custkey FROM customer AS c WHERE EXISTS (SELECT 1 FROM orders AS o WHERE o.o_custkey = c.c_custkey AND EXISTS (SELECT 1 FROM lineitem AS l WHERE l.l_orderkey = o.o_orderkey AND l.l_extendedprice > c.c_acctbal * 10))")
+both("corr_skip_level_scalar", "SELECT r.r_name, (SELECT MAX(n.n_nationkey) FROM nation AS n WHERE n.n_nationkey <= (SELECT COUNT(*) FROM supplier AS s WHERE s.s_nationkey % 5 = r.r_regionkey)) AS k FROM region AS r")
+both("corr_skip_level_no_from", "SELECT n.n_nationkey AS k, (SELECT (SELECT n.n_nationkey + 1)) AS j FROM nation AS n")
+
 # -- sort, limit, distinct, set operations
 
 both("union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
 both("union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 both("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-both("except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+both("except", "SELECT c_nationkey + 3 AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
 both("setops_left_to_right", "SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation INTERSECT SELECT s_suppkey FROM supplier", "SELECT * FROM (SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation) INTERSECT SELECT s_suppkey FROM supplier")
 both("order_nulls", "SELECT r_name, CASE WHEN r_regionkey > 1 THEN r_regionkey END AS k FROM region ORDER BY k, r_name LIMIT 3", "SELECT r_name, CASE WHEN r_regionkey > 1 THEN r_regionkey END AS k FROM region ORDER BY k NULLS FIRST, r_name LIMIT 3")
 both("order_expression", "SELECT p_partkey FROM part ORDER BY p_size * -1, p_partkey DESC LIMIT 50")
@@ -279,13 +285,15 @@ both(
     "SELECT event_id, EXTRACT(YEAR FROM ts) AS y, EXTRACT(MONTH FROM ts) AS m, EXTRACT(DAY FROM ts) AS d, EXTRACT(HOUR FROM ts) AS h, EXTRACT(MINUTE FROM ts) AS mi, @6[(EXTRACT(MICROSECOND FROM ts)) / 1000000.0]@ AS s FROM events",
 )
 both("strftime", "SELECT event_id, STRFTIME('%Y/%m/%d %H:%M:%S', ts) AS t, @4[UNIXEPOCH(ts)]@ AS u, @4[JULIANDAY(ts)]@ AS j, CAST(DATE(ts) AS VARCHAR) AS d FROM events", "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S') AS t, @4[epoch_us(ts) / 1000000.0]@ AS u, @4[epoch_us(ts) / 86400000000.0 + 2440587.5]@ AS j, CAST(CAST(ts AS DATE) AS VARCHAR) AS d FROM events")
+both("strftime_weeks", "SELECT o_orderkey, STRFTIME('%U %W %V %G %u %j %D', o_orderdate) AS t FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%U %W %V %G %u %j %m/%d/%y') AS t FROM orders")
+both("substring_edges", "SELECT n_name, SUBSTRING(n_name, 0, 2) AS a, SUBSTR(n_name, 0) AS b, SUBSTRING(n_name, -2, 1) AS c, SUBSTRING(n_name, 8, 9) AS d, HEX(SUBSTRING(CAST(n_name AS BLOB), 2, 3)) AS e FROM nation", "SELECT n_name, '' AS a, '' AS b, substr(n_name, -2, 1) AS c, substr(n_name, 8, 9) AS d, hex(substr(n_name, 2, 3)) AS e FROM nation")
 both("interval_arithmetic", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL '1-1' YEAR TO MONTH AS VARCHAR) AS a, CAST(CAST(o_orderdate AS DATE) - P10D AS VARCHAR) AS b, o_orderdate + PT36H > o_orderdate AS c FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate + INTERVAL 13 MONTH AS DATE) AS VARCHAR) AS a, CAST(CAST(o_orderdate - INTERVAL 10 DAY AS DATE) AS VARCHAR) AS b, TRUE AS c FROM orders")
-PERIODS = [("period_contains", "CONTAINS", "a.s <= b.s AND a.e >= b.e"), ("period_overlaps", "OVERLAPS", "a.s < b.e AND a.e > b.s"), ("period_precedes", "PRECEDES", "a.e <= b.s"), ("period_succeeds", "SUCCEEDS", "a.s >= b.e"), ("period_immediately_precedes", "IMMEDIATELY PRECEDES", "a.e = b.s"), ("period_immediately_succeeds", "IMMEDIATELY SUCCEEDS", "a.s = b.e")]
+PERIODS = [("period_contains", "CONTAINS", "a.s <= b.s AND a.e >= b.e"), ("period_overlaps", "OVERLAPS", "a.s < b.e AND a.e > b.s"), ("period_precedes", "PRECEDES", "a.e <= b.s"), ("period_succeeds", "SUCCEEDS", "a.s >= b.e"), ("period_immediately_precedes", "IMMEDIATELY PRECEDES", "a.e = b.s"), ("period_immediately_succeeds", "IMMEDIATELY SUCCEEDS", "a.s = b.e"), ("period_equals", "EQUALS", "a.s = b.s AND a.e = b.e")]
 for _name, _word, _test in PERIODS:
     both(
         _name,
-        f"WITH p (k, span) AS (SELECT user_id, PERIOD(DATE(MIN(ts)), DATE(MAX(ts))) FROM events GROUP BY user_id) SELECT a.k AS x, b.k AS y FROM p AS a, p AS b WHERE a.span {_word} b.span",
-        f"WITH p AS (SELECT user_id AS k, CAST(MIN(ts) AS DATE) AS s, CAST(MAX(ts) AS DATE) AS e FROM events GROUP BY user_id) SELECT a.k AS x, b.k AS y FROM p AS a, p AS b WHERE {_test}",
+        f"WITH p (k, span) AS (SELECT s_suppkey, PERIOD(DATE('2024-01-' || (10 + s_suppkey % 9)), DATE('2024-01-' || (11 + s_suppkey % 9 + s_suppkey % 4))) FROM supplier) SELECT a.k AS x, b.k AS y FROM p AS a, p AS b WHERE a.span {_word} b.span",
+        f"WITH p AS (SELECT s_suppkey AS k, CAST('2024-01-' || (10 + s_suppkey % 9) AS DATE) AS s, CAST('2024-01-' || (11 + s_suppkey % 9 + s_suppkey % 4) AS DATE) AS e FROM supplier) SELECT a.k AS x, b.k AS y FROM p AS a, p AS b WHERE {_test}",
     )
 
 # -- vectors
@@ -308,6 +316,8 @@ both("path_edit", "SELECT event_id, CAST(PATH_EXTRACT(PATH_SET(props, $.a, [user
 both("object_build", "SELECT o.x.key AS k, o.x.name AS nm, OBJECT_KEYS(o.x) AS ks FROM (SELECT {key: n_nationkey, name: n_name} AS x FROM nation) AS o", "SELECT n_nationkey AS k, n_name AS nm, ['key', 'name'] AS ks FROM nation")
 both("object_spread_star", "SELECT o.x.r_name AS a, o.x.extra AS b FROM (SELECT {region.*, extra: 1} AS x FROM region) AS o", "SELECT r_name AS a, 1 AS b FROM region")
 both("object_patch", "SELECT event_id, CAST(p.x.k AS INTEGER) AS k, CAST(p.x.z AS INTEGER) AS z FROM (SELECT event_id, PATCH(props, {z: user_id, k: NULL}) AS x FROM events) AS p", "SELECT event_id, CAST(NULL AS BIGINT) AS k, user_id AS z FROM events")
+both("object_entries", "SELECT o.k, CAST(OBJECT_VALUES(o.x)[1] AS INTEGER) AS v, CAST(OBJECT_ENTRIES(o.x)[0][1] AS INTEGER) AS e, OBJECT_FROM_ENTRIES([['n', o.k], ['m', 1]]).m = 1 AS f FROM (SELECT n_nationkey AS k, {a: n_nationkey, b: n_regionkey} AS x FROM nation) AS o", "SELECT n_nationkey AS k, n_regionkey AS v, n_nationkey AS e, true AS f FROM nation")
+both("path_wildcards", "SELECT event_id, LENGTH({p: props, q: [{k: user_id}]}..k) AS n, LENGTH([props, {k: user_id}][*].k) AS u FROM events", "SELECT event_id, 2 AS n, 2 AS u FROM events")
 both("match_containment", "SELECT event_id FROM events WHERE props @> {k: 42} OR {k: 43, y: 1} <@ props OR props MATCH {k: 44}", "SELECT event_id FROM events WHERE CAST(props->>'k' AS BIGINT) IN (42, 44)")
 both("whole_document", "SELECT r.x.r_name AS nm FROM (SELECT region AS x FROM region) AS r WHERE r.x @> {r_regionkey: 2}", "SELECT r_name AS nm FROM region WHERE r_regionkey = 2")
 both("like_function", "SELECT n_name FROM nation WHERE LIKE('%_1', n_name) AND GLOB('NATION*', n_name) AND BETWEEN(n_nationkey, 1, 21)", "SELECT n_name FROM nation WHERE n_name LIKE '%_1' AND n_name GLOB 'NATION*' AND n_nationkey BETWEEN 1 AND 21")
@@ -315,9 +325,9 @@ both("information_schema", "SELECT table_name, column_name FROM information_sche
 both("text_group", "SELECT lang, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars FROM documents WHERE text LIKE '%license%' OR source LIKE 'src1%' GROUP BY lang", "SELECT lang, COUNT(*) AS n, CAST(SUM(LENGTH(text)) AS BIGINT) AS chars FROM documents WHERE regexp_matches(text, '^[^\\n]*license[^\\n]*$') OR source LIKE 'src1%' GROUP BY lang")
 
 
-def session_for(spark: SparkSession, sf_dir: str, path: str | None = None) -> Session:
+def session_for(spark: SparkSession, sf_dir: str, path: str | None = None, sqlite_mode: bool = False) -> Session:
     """A session over the tables of a folder."""
-    s = Session(spark, path)
+    s = Session(spark, path, sqlite_mode)
     for name in TABLES:
         s.register(name, f"{sf_dir}/{name}.parquet", DOCUMENT_COLUMNS.get(name, ()))
     return s
@@ -331,16 +341,15 @@ def ask(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 # -- versioned tables: scripts over whole tables
 
 def database_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; one of our own only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palimpsest")
-    return f"{top}/db-{uuid.uuid4().hex}"
+    """A new folder where the cluster shares files."""
+    return f"{shared_folder(spark)}/db-{uuid.uuid4().hex}"
 
 
 def scripted(*steps: str) -> Callable[[SparkSession, str], DataFrame]:
     """Run statements in turn; ``{name}`` in a later one is the system time after the step of that name ("name: statement")."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = session_for(spark, sf_dir, database_folder(spark))
+        s = session_for(spark, sf_dir, database_folder(spark), sqlite_mode=steps[0].startswith("CREATE TABLE"))
         times: dict[str, str] = {}
         out = None
         for step in steps:
@@ -387,8 +396,23 @@ SCRIPTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "view": ((_LOAD, "CREATE VIEW rich (k, b) AS SELECT id, balance FROM accounts WHERE balance > 9000", "SELECT COUNT(*) AS n, MIN(k) AS k FROM rich"), "SELECT COUNT(*) AS n, MIN(c_custkey) AS k FROM customer WHERE c_acctbal > 9000"),
     "savepoint_rollback": ((_LOAD, "BEGIN", "DELETE FROM accounts WHERE nation = 1", "SAVEPOINT a", "DELETE FROM accounts", "ROLLBACK TO a", "COMMIT", _SUM.format("")), "SELECT c_nationkey AS nation, COUNT(*) AS n, @2[SUM(c_acctbal)]@ AS total FROM customer WHERE c_nationkey <> 1 GROUP BY c_nationkey"),
+    "create_table_index": (("CREATE TABLE accounts (id INTEGER PRIMARY KEY, name TEXT, balance REAL, nation INTEGER)", "CREATE INDEX by_nation ON accounts (nation)", _LOAD, "DROP INDEX by_nation", _SUM.format("")), "SELECT c_nationkey AS nation, COUNT(*) AS n, @2[SUM(c_acctbal)]@ AS total FROM customer GROUP BY c_nationkey"),
+    "drop_table": (("CREATE TABLE notes (id INTEGER)", _LOAD, "DROP TABLE notes", "SELECT table_name FROM information_schema.tables WHERE table_name IN ('accounts', 'notes')"), "SELECT 'accounts' AS table_name"),
+    "assertion": ((_LOAD, "CREATE ASSERTION rich CHECK (NOT EXISTS (SELECT * FROM accounts WHERE balance > 1000000.0))", "UPDATE accounts SET balance = 1.0 WHERE nation = 3", _SUM.format("")), "SELECT c_nationkey AS nation, COUNT(*) AS n, @2[SUM(CASE WHEN c_nationkey = 3 THEN 1 ELSE c_acctbal END)]@ AS total FROM customer GROUP BY c_nationkey"),
+    "multiple_statements": ((_LOAD + "; DELETE FROM accounts WHERE nation = 2; " + _SUM.format(""),), "SELECT c_nationkey AS nation, COUNT(*) AS n, @2[SUM(c_acctbal)]@ AS total FROM customer WHERE c_nationkey <> 2 GROUP BY c_nationkey"),
     "schema_on_read": ((_LOAD, "INSERT INTO accounts (id, tags) VALUES (-1, ['a', 'b'])", "SELECT COUNT(*) AS n, COUNT(name) AS named, MAX(LENGTH(tags)) AS tags FROM accounts"), "SELECT COUNT(*) + 1 AS n, COUNT(c_name) AS named, 2 AS tags FROM customer"),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: ask(sql) for name, (sql, _) in PAIRS.items()} | {name: scripted(*steps) for name, (steps, _) in SCRIPTS.items()}
-ORACLES: dict[str, str] = {name: spelled(duck or sql, duck=True) for name, (sql, duck) in PAIRS.items()} | {name: spelled(duck, duck=True) for name, (_, duck) in SCRIPTS.items()}
+
+
+def with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each of many sets of parameters, by name, and then one by number."""
+    s = session_for(spark, sf_dir, database_folder(spark))
+    s.execute("INSERT INTO picks (nation, label) SELECT n_nationkey, :label FROM nation WHERE n_regionkey = :region", [{"region": r, "label": f"r{r}"} for r in (0, 2, 4)], many=True)
+    return s.execute("SELECT nation, label FROM picks WHERE nation > ?", [3])
+
+
+_PARAMETERS = "SELECT n_nationkey AS nation, 'r' || n_regionkey AS label FROM nation WHERE n_regionkey IN (0, 2, 4) AND n_nationkey > 3"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: ask(sql) for name, (sql, _) in PAIRS.items()} | {name: scripted(*steps) for name, (steps, _) in SCRIPTS.items()} | {"parameters_many": with_parameters}
+ORACLES: dict[str, str] = {name: spelled(duck or sql, duck=True) for name, (sql, duck) in PAIRS.items()} | {name: spelled(duck, duck=True) for name, (_, duck) in SCRIPTS.items()} | {"parameters_many": _PARAMETERS}

@@ -1,8 +1,9 @@
 """Versioned tables: Parquet batches, logs of ended and erased rows, and a manifest per transaction.
 
 A row keeps the identity (_batch, _row) and its start time for good; an update ends a row and appends another. A
-manifest is one JSON file named by its transaction number and made exclusively, so of two writers one wins and the
-other sees a conflict. Readers take the last complete manifest, a snapshot of file lists.
+manifest is one JSON file named by its transaction number and linked to that name exclusively, so of two writers one
+wins and the other sees a conflict. Readers take the last whole manifest, a snapshot of file lists. Erased rows leave
+the files by compaction and vacuum.
 """
 
 from __future__ import annotations
@@ -48,30 +49,89 @@ class Store:
         found = self.fs.listStatus(self.Path(f"{self.root}/manifest"))
         return sorted(int(s.getPath().getName()[:-5]) for s in found if s.getPath().getName().endswith(".json"))
 
+    def read(self, path) -> dict | None:
+        """A manifest; None if the file is damaged."""
+        stream = self.fs.open(path)
+        try:
+            body = self.io.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return json.loads(body) if body.endswith("\n") else None
+        except ValueError:
+            return None
+
+    def place(self, number: int):
+        return self.Path(f"{self.root}/manifest/{number:012d}.json")
+
     def latest(self) -> dict:
         for n in reversed(self.numbers()):
-            stream = self.fs.open(self.Path(f"{self.root}/manifest/{n:012d}.json"))
-            try:
-                body = self.io.toString(stream, "UTF-8")
-            finally:
-                stream.close()
-            if body.endswith("\n"):  # else it is still being written
-                return json.loads(body)
+            if (found := self.read(self.place(n))) is not None:
+                return found
         return {"tx": 0, "at": "1970-01-01T00:00:00", "tables": {}, "views": {}, "assertions": {}}
 
+    def link(self, written, path) -> None:
+        """Give a complete file its final name, or fail if there is one of that name: atomic in local folders and in HDFS."""
+        jvm = self.spark.sparkContext._jvm
+        if self.fs.getScheme() == "file":
+            jvm.java.nio.file.Files.createLink(*(jvm.java.nio.file.Paths.get(x.toUri().getPath(), self.none(jvm.java.lang.String)) for x in (path, written)))
+            self.fs.delete(written, False)
+        else:
+            rename = jvm.org.apache.hadoop.fs.Options.Rename
+            options = self.spark.sparkContext._gateway.new_array(rename, 1)
+            options[0] = rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(written, path, options)
+
+    def none(self, kind):
+        return self.spark.sparkContext._gateway.new_array(kind, 0)
+
     def publish(self, manifest: dict, now: dt.datetime) -> None:
-        """Make ``manifest`` the next transaction, or raise Conflict."""
+        """Make ``manifest`` the next transaction, or raise Conflict.
+
+        It is written under a name of its own and then linked, so a writer that dies leaves no part of a manifest. A
+        damaged file in the way is put aside.
+        """
         manifest["tx"] += 1
         manifest["at"] = now.isoformat()
-        path = self.Path(f"{self.root}/manifest/{manifest['tx']:012d}.json")
-        try:
-            stream = self.fs.create(path, False)
-        except Exception as err:
-            raise Conflict(f"Conflict at transaction {manifest['tx']}") from err
+        path, written = self.place(manifest["tx"]), self.Path(f"{self.root}/manifest/{uuid.uuid4().hex}.tmp")
+        stream = self.fs.create(written, False)
         try:
             stream.write(bytearray((json.dumps(manifest) + "\n").encode()))
         finally:
             stream.close()
+        try:
+            if self.fs.exists(path) and self.read(path) is None:
+                aside = self.Path(f"{self.root}/manifest/{uuid.uuid4().hex}.damaged")
+                self.fs.rename(path, aside)
+                if self.read(aside) is not None:  # another writer has mended it in between
+                    self.link(aside, path)
+            self.link(written, path)
+        except Exception as err:
+            self.fs.delete(written, False)
+            if self.fs.exists(path):
+                raise Conflict(f"Conflict at transaction {manifest['tx']}") from err
+            raise
+
+    def vacuum(self, before: dt.datetime) -> int:
+        """Delete manifests published before that time but for the newest, and all files that no manifest left names; the number of deletions.
+
+        Files younger than that stay, as a transaction that is still open may have written them.
+        """
+        kept, gone = [], 0
+        numbers = self.numbers()
+        for n in numbers:
+            found = self.read(self.place(n))
+            if n != numbers[-1] and (found is None or dt.datetime.fromisoformat(found["at"]).replace(tzinfo=dt.timezone.utc) < before):
+                gone += bool(self.fs.delete(self.place(n), False))
+            elif found is not None:
+                kept.append(found)
+        named = {p.rpartition("/")[2] for m in kept for meta in m["tables"].values() for p in [*(b["path"] for b in meta["batches"]), *meta["ended"], *meta["erased"]]}
+        for kind in ("data", "ended", "erased"):
+            folder = self.Path(f"{self.root}/{kind}")
+            for f in self.fs.listStatus(folder) if self.fs.exists(folder) else ():
+                if f.getPath().getName() not in named and f.getModificationTime() < before.timestamp() * 1000:
+                    gone += bool(self.fs.delete(f.getPath(), True))
+        return gone
 
     def append(self, manifest: dict, table: str, df: DataFrame, columns: list[tuple[str, object]], now: dt.datetime) -> int:
         """Write rows as a new batch; the number of rows."""

@@ -106,3 +106,42 @@ def test_many(db):
     db.execute("INSERT INTO t (a, b) VALUES (?, ?)", [[1, "x"], [2, "y"]], many=True)
     db.execute("INSERT INTO t {a: :a, b: :b}", pa.table({"a": [3], "b": ["z"]}), many=True)
     assert rows(db, "SELECT a, b FROM t") == [(1, "x"), (2, "y"), (3, "z")]
+
+
+def test_damaged_manifest_blocks_no_writer(db, spark, tmp_path):
+    db.execute("INSERT INTO t (a) VALUES (1)")
+    db.execute("INSERT INTO t (a) VALUES (2)")
+    newest = sorted((tmp_path / "manifest").glob("*.json"))[-1]
+    newest.write_text(newest.read_text()[: newest.stat().st_size // 2])
+    for p in (tmp_path / "manifest").glob(".*.crc"):
+        p.unlink()
+    other = Session(spark, str(tmp_path))
+    assert rows(other, "SELECT a FROM t") == [(1,)]
+    assert other.execute("INSERT INTO t (a) VALUES (3)") == 1
+    assert rows(Session(spark, str(tmp_path)), "SELECT a FROM t") == [(1,), (3,)]
+    assert not list((tmp_path / "manifest").glob("*.tmp"))
+
+
+def test_writers_at_once(spark, tmp_path):
+    store = Session(spark, str(tmp_path)).store
+    first, second = store.latest(), store.latest()
+    now = __import__("datetime").datetime.now(__import__("datetime").timezone.utc)
+    store.publish(first, now)
+    with pytest.raises(Conflict):
+        store.publish(second, now)
+    assert store.latest()["tx"] == 1
+
+
+def test_vacuum_after_erase(db, tmp_path):
+    import datetime as dt
+
+    db.execute("INSERT INTO t (a, secret) VALUES (1, 'abc'), (2, 'xyz')")
+    db.execute("ERASE FROM t WHERE a = 2")
+    db.compact("t")
+    old = {p.name for p in (tmp_path / "data").iterdir()}
+    assert db.vacuum() == 0 and {p.name for p in (tmp_path / "data").iterdir()} == old
+    assert db.vacuum(dt.timedelta(0)) > 0
+    assert rows(db, "SELECT a, secret FROM t FOR SYSTEM_TIME ALL") == [(1, "abc")]
+    assert len([p for p in (tmp_path / "data").iterdir() if not p.name.startswith(".")]) == 1 < len(old)
+    db.execute("INSERT INTO t (a) VALUES (5)")
+    assert rows(db, "SELECT a FROM t") == [(1,), (5,)]
