@@ -17,6 +17,7 @@ from palimpsest.plans.types import E, quote, text
 JSON, LD, ND, CSV = "application/json", "application/ld+json", "application/x-ndjson", "text/csv"
 ARROW_FILE, ARROW_STREAM = "application/vnd.apache.arrow.file", "application/vnd.apache.arrow.stream"
 KINDS = (JSON, LD, ND, CSV, ARROW_FILE, ARROW_STREAM)
+MIXED = "multipart/mixed"
 VOCABULARY = "urn:palimpsest:"
 SAFE = 2**53 - 1
 _TAGGED = r'\{"@type":"xsd:[A-Za-z0-9]+","@value":("(?:[^"\\]|\\.)*")\}'
@@ -54,16 +55,54 @@ def lines(df: DataFrame, types: list, kind: str) -> DataFrame:
     return df.toDF(*inner).selectExpr(f"{sql} AS line")
 
 
+class Pieces:
+    """A file to write to, whose bytes are taken off as they come."""
+
+    closed = False
+
+    def __init__(self):
+        self.held: list[bytes] = []
+
+    def write(self, data) -> int:
+        self.held.append(bytes(data))
+        return len(self.held[-1])
+
+    def flush(self) -> None:
+        pass
+
+    def taken(self) -> bytes:
+        out, self.held = b"".join(self.held), []
+        return out
+
+
+def arrow(df: DataFrame, kind: str) -> Iterator[bytes]:
+    """An Arrow file or stream. Executors encode batches, and the driver holds one partition's at a time."""
+    import pyarrow as pa
+
+    def encode(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as writer:
+                writer.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part"])
+
+    sink, writer = Pieces(), None
+    new = pa.ipc.new_file if kind == ARROW_FILE else pa.ipc.new_stream
+    for row in df.mapInArrow(encode, "part binary").toLocalIterator(prefetchPartitions=True):
+        with pa.ipc.open_stream(row.part) as reader:
+            writer = writer or new(sink, reader.schema)
+            for b in reader:
+                writer.write_batch(b)
+        yield sink.taken()
+    writer = writer or new(sink, df.limit(0).toArrow().schema)
+    writer.close()
+    yield sink.taken()
+
+
 def chunks(df: DataFrame, types: list, kind: str) -> Iterator[bytes]:
-    """The result in ``kind``, piece by piece. Arrow is gathered on the driver and meant for results that fit there."""
+    """The result in ``kind``, piece by piece."""
     if kind in (ARROW_FILE, ARROW_STREAM):
-        import pyarrow as pa
-
-        sink = pa.BufferOutputStream()
-        table = df.toArrow()
-        with (pa.ipc.new_file if kind == ARROW_FILE else pa.ipc.new_stream)(sink, table.schema) as writer:
-            writer.write_table(table)
-        yield sink.getvalue().to_pybytes()
+        yield from arrow(df, kind)
         return
     if kind not in KINDS:
         raise SqlError(f"Unknown result type: {kind}")

@@ -8,8 +8,11 @@ import json
 import struct
 import threading
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from email.parser import BytesParser
+from email.policy import HTTP
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain, islice
 from urllib.parse import parse_qs, urlsplit
 
 from palimpsest.dialect.lexer import SqlError
@@ -45,6 +48,16 @@ def value_of(e):
     raise SqlError("Parameters must be literals")
 
 
+def form(kind: str, body: bytes) -> dict:
+    """The fields of a multipart form; an Arrow part stays bytes, others are text."""
+    message = BytesParser(policy=HTTP).parsebytes(b"Content-Type: " + kind.encode() + b"\r\n\r\n" + body)
+    out = {}
+    for part in message.iter_parts():
+        data, arrow = part.get_payload(decode=True), part.get_content_type().startswith("application/vnd.apache.arrow")
+        out[part.get_param("name", header="Content-Disposition")] = data if arrow else data.decode()
+    return out
+
+
 class Server:
     """``connect`` makes a session; each WebSocket has its own, and HTTP requests share one, one at a time."""
 
@@ -85,6 +98,22 @@ class Server:
         return out | {"result": json.loads(body)}
 
 
+class _Broken(Exception):
+    """An answer that has begun cannot go on."""
+
+
+_BOUNDARY = "palimpsest-part"
+
+
+def mixed(session: Session, answers: list) -> Iterator[bytes]:
+    """Each statement's answer as a part of JSON-LD."""
+    for answer in answers:
+        yield f"--{_BOUNDARY}\r\nContent-Type: {results.LD}\r\n\r\n".encode()
+        yield from session.stream(answer, results.LD)
+        yield b"\r\n"
+    yield f"--{_BOUNDARY}--\r\n".encode()
+
+
 class _Handler(BaseHTTPRequestHandler):
     server_of: Server
     protocol_version = "HTTP/1.1"
@@ -124,6 +153,8 @@ class _Handler(BaseHTTPRequestHandler):
             args["q"] = body.decode()
         elif kind == "application/x-www-form-urlencoded":
             args |= {k: v[0] for k, v in parse_qs(body.decode()).items()}
+        elif kind == "multipart/form-data":
+            args |= form(self.headers["Content-Type"], body)
         elif kind in (results.JSON, results.LD):
             try:
                 args |= json.loads(body)
@@ -135,7 +166,7 @@ class _Handler(BaseHTTPRequestHandler):
 
     def sql(self, args: dict, read_only: bool) -> None:
         wanted = [a.partition(";")[0].strip() for a in (self.headers.get("Accept") or "*/*").split(",")]
-        kind = next((results.JSON if a in ("*/*", "application/*") else a for a in wanted if a in (*results.KINDS, "*/*", "application/*")), None)
+        kind = next((results.JSON if a in ("*/*", "application/*") else a for a in wanted if a in (*results.KINDS, results.MIXED, "*/*", "application/*")), None)
         if kind is None:
             return self.reply(406)
         if not isinstance(args.get("q"), str):
@@ -152,13 +183,35 @@ class _Handler(BaseHTTPRequestHandler):
                 raise SqlError("GET does not change the database")
             with own.lock:
                 result = own.shared.execute(args["q"], p, args.get("m") in (True, "true"))
-                body = b"".join(own.shared.stream(result, kind))
+                parts = own.shared.stream(result, kind) if kind != results.MIXED else mixed(own.shared, list(own.shared.answers))
+                self.stream(201 if changes else 200, parts, kind if kind != results.MIXED else f"{kind}; boundary={_BOUNDARY}")
         except Conflict:
             return self.reply(503)
+        except (ConnectionError, _Broken):
+            self.close_connection = True
         except Exception as err:
             own.counts["errors"] += 1
             return self.reply(400, (str(err).splitlines() or [""])[0].encode() + b"\n")
-        return self.reply(201 if changes else 200, body, kind)
+        return None
+
+    def stream(self, status: int, parts: Iterator[bytes], kind: str) -> None:
+        """Answer in chunks as the rows come. What fails before the first row is an error; later, the connection breaks."""
+        first = b"".join(islice(parts, 3))  # at most a part's head, the format's head and a row
+        chunked = self.request_version >= "HTTP/1.1"
+        if not chunked:
+            return self.reply(status, first + b"".join(parts), kind)
+        self.send_response(status)
+        self.send_header("Content-Type", kind)
+        self.send_header("Transfer-Encoding", "chunked")
+        self.end_headers()
+        try:
+            for data in chain([first], parts):
+                if data:
+                    self.wfile.write(f"{len(data):x}\r\n".encode() + data + b"\r\n")
+            self.wfile.write(b"0\r\n\r\n")
+        except Exception as err:
+            raise _Broken from err
+        return None
 
     def websocket(self) -> None:
         key = self.headers.get("Sec-WebSocket-Key", "") + _WEBSOCKET

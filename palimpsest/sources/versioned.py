@@ -13,7 +13,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalar as fx
@@ -133,14 +133,19 @@ class Store:
                     gone += bool(self.fs.delete(f.getPath(), True))
         return gone
 
+    def written(self, rows: DataFrame, path: str) -> int:
+        """Write a batch; its number of rows, counted by the writing tasks themselves."""
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return seen.get["n"]
+
     def append(self, manifest: dict, table: str, df: DataFrame, columns: list[tuple[str, object]], now: dt.datetime) -> int:
         """Write rows as a new batch; the number of rows."""
         batch = uuid.uuid4().hex
         path = f"{self.root}/data/{batch}"
         stored = [(n, t) for n, t in columns if t != "null"]
         out = df.select(*(F.expr(quote(n)).alias(n) for n, _ in stored), F.lit(batch).alias("_batch"), F.monotonically_increasing_id().alias("_row"), F.expr(fx.literal(now).sql).alias("_start"))
-        out.write.parquet(path)
-        rows = self.spark.read.parquet(path).count()
+        rows = self.written(out, path)
         meta = manifest["tables"].setdefault(table, {"batches": [], "ended": [], "erased": [], "columns": {}, "created": False})
         for n, _ in columns:
             meta["columns"].setdefault(n, 0)
@@ -151,8 +156,7 @@ class Store:
     def log(self, manifest: dict, table: str, rows: DataFrame, kind: str, now: dt.datetime) -> int:
         """Record (_batch, _row) as ended or erased; the number of rows."""
         path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        rows.select("_batch", "_row", F.expr(fx.literal(now).sql).alias("_end")).write.parquet(path)
-        n = self.spark.read.parquet(path).count()
+        n = self.written(rows.select("_batch", "_row", F.expr(fx.literal(now).sql).alias("_end")), path)
         if n:
             manifest["tables"][table][kind].append(path)
         return n
@@ -215,8 +219,7 @@ class Store:
         columns = self.columns_of(meta)
         path = f"{self.root}/data/{uuid.uuid4().hex}"
         stored = [n for n, t in columns if t != "null"]
-        rows.select(*(quote(n) for n in stored), "_batch", "_row", "_start").write.parquet(path)
-        n = self.spark.read.parquet(path).count()
+        n = self.written(rows.select(*(quote(n) for n in stored), "_batch", "_row", "_start"), path)
         meta["batches"] = [{"path": path, "rows": n, "columns": {c: pack_type(t) for c, t in columns}}] if n else []
         meta["erased"] = []
         return manifest

@@ -36,6 +36,23 @@ def test_formats(db):
     assert b"".join(db.stream(db.execute("SELECT a FROM t WHERE a > 5"), results.JSON)) == b"[]\n"
 
 
+def test_rows_as_python_values(db):
+    import datetime as dt
+
+    assert list(db.rows("SELECT 1 AS a UNION ALL SELECT 'x' UNION ALL SELECT 2001-01-02 UNION ALL SELECT [1, 'y']")) == [(1,), ("x",), (dt.date(2001, 1, 2),), ([1, "y"],)]
+    assert list(db.rows("SELECT {a: 1, b: [{c: 2001-01-02}]} AS o, [1, 2] AS v, NULL AS n")) == [({"a": 1, "b": [{"c": dt.date(2001, 1, 2)}]}, [1, 2], None)]
+    db.execute("INSERT INTO m {x: 1, t: 'a'}, {x: 'one', t: {k: 2.5}}")
+    assert sorted(map(str, db.rows("SELECT x, t FROM m"))) == ["('one', {'k': 2.5})", "(1, 'a')"]
+    assert list(db.rows("DELETE FROM m WHERE x = 1")) == [(1,)]
+
+
+def test_arrow_comes_in_parts(db):
+    for kind, reader in ((results.ARROW_FILE, pa.ipc.open_file), (results.ARROW_STREAM, pa.ipc.open_stream)):
+        parts = list(db.stream(db.execute("SELECT g.v, 'x' AS t FROM GENERATE_SERIES(1, 3000000) AS g (v)"), kind))
+        assert len(parts) > 3 and reader(b"".join(parts)).read_all().num_rows == 3_000_000
+        assert reader(b"".join(db.stream(db.execute("SELECT 1 AS a WHERE FALSE"), kind))).read_all().num_rows == 0
+
+
 def test_written_by_executors(db, tmp_path, spark):
     db.write(db.execute("SELECT g.v FROM GENERATE_SERIES(1, 100) AS g (v)"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").selectExpr("sum(v)").first()[0] == 5050
@@ -61,6 +78,16 @@ def test_http_and_websocket(db, spark, tmp_path):
         assert ask("/sql?q=SELECT%201", Accept="image/png")[0] == 406 and ask("/sql", b"x", Content_Type="image/png")[0] == 415
         assert ask("/sql?q=SELECT%201", Authorization="Basic x")[0] == 401 and ask("/sql", b"", Content_Type="application/json")[0] == 422
         assert b"palimpsest_queries_total" in ask("/metrics")[1]
+        sink = pa.BufferOutputStream()
+        batch = pa.table({"a": [7, 8]})
+        with pa.ipc.new_stream(sink, batch.schema) as w:
+            w.write_table(batch)
+        part = lambda name, data, kind="text/plain": f'--XX\r\nContent-Disposition: form-data; name="{name}"\r\nContent-Type: {kind}\r\n\r\n'.encode() + data + b"\r\n"
+        body = part("q", b"INSERT INTO t (a) VALUES (:a)") + part("m", b"true") + part("p", sink.getvalue().to_pybytes(), "application/vnd.apache.arrow.stream") + b"--XX--\r\n"
+        assert ask("/sql", body, Content_Type="multipart/form-data; boundary=XX")[0] == 201
+        status, body = ask("/sql", b"DELETE FROM t WHERE a > 6; SELECT COUNT(*) AS n FROM t", Content_Type="application/sql", Accept="multipart/mixed")
+        assert status == 201 and body.count(b"--palimpsest-part\r\n") == 2 and b'"@graph":[{"result":2}]' in body and b'"@graph":[{"n":2}]' in body
+        assert ask("/sql?q=SELECT%20SQRT(-1)")[0] == 400
         with socket.create_connection(("127.0.0.1", server.port), timeout=60) as s:
             s.sendall(f"GET /sql HTTP/1.1\r\nHost: x\r\nAuthorization: {token}\r\nUpgrade: websocket\r\nConnection: Upgrade\r\nSec-WebSocket-Key: dGhlIHNhbXBsZSBub25jZQ==\r\n\r\n".encode())
             f = s.makefile("rb")
