@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import checkpoint, running_sum, slices, spread, texts
 
-#: Words kept per Python worker, with their ids; then the store starts anew.
-KEPT_WORDS, KEPT_IDS = 300_000, 32
+#: Words kept per Python worker, with their ids of at most that number: the new ones, and as many that were in use before.
+KEPT_WORDS, KEPT_IDS = 200_000, 32
 _WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
@@ -30,14 +30,28 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.model, self.letters = tokenizer.model, byte_letters()
+        self.model, self.letters, self.older = tokenizer.model, byte_letters(), {}
+
+    def age(self) -> None:
+        """Begin a new generation when this one is full; a word of the last one comes over when it is met."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        tokenize, ids = self.model.tokenize, []
-        for part in (word,) if word.isascii() and word.isalpha() else _SPLIT.findall(word):
-            ids += [t.id for t in tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(ids) <= KEPT_IDS:  # long strings are rare, and would fill the store
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
+        parts = [word] if word.isascii() and word.isalpha() else _SPLIT.findall(word)
+        if len(parts) > 1:
+            out = b"".join(map(self.__getitem__, parts))  # words with marks are many, their parts few
+        elif parts:
+            part = parts[0]
+            part = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+            out = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        else:
+            out = b""
+        if len(out) <= 4 * KEPT_IDS:  # long strings are rare, and would fill the store
             self[word] = out
         return out
 
@@ -68,8 +82,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+        self.words.age()
         get, out, rest = self.words.__getitem__, [], []
         for i, t in enumerate(texts):
             if self.direct and not _OTHER.search(t) and not _CONTROL.search(t) and not any(x in t for x in self.added):
