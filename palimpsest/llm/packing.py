@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpoint, running_sum, slices, spread, texts
 
 #: Words kept per Python worker, with their ids of at most that number: the new ones, and as many that were in use before.
-KEPT_WORDS, KEPT_IDS = 200_000, 32
+KEPT_WORDS, KEPT_IDS = 150_000, 32
 _WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 
@@ -22,6 +22,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tok
 _OTHER = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u203e\u20ac]")
 _SPACES, _LETTERS, _DIGITS = "\t\n\x0b\x0c\r \x85\xa0", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+_MARKS = ".,;:!?#$%&*-)\"'"
 _PROBES = ("Don't STOP, it's 3.14!  a_b\t\xc9t\xe9 \xbd\xb2 \u2014x\u20ac", "we'll 'Re \xd7\xf7 A1b2  \n\n--==")
 
 
@@ -42,25 +43,25 @@ class Words(dict):
         if (out := self.older.get(word)) is not None:
             self[word] = out
             return out
-        parts = [word] if word.isascii() and word.isalpha() else _SPLIT.findall(word)
-        if len(parts) > 1:
-            out = b"".join(map(self.__getitem__, parts))  # words with marks are many, their parts few
-        elif parts:
-            part = parts[0]
-            part = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-            out = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        head = word.rstrip(_MARKS)
+        if head != word and head.isalpha():  # words with marks are many, their parts few
+            out = self[head] + self[word[len(head) :]]
+        elif word.isalpha() or len(parts := _SPLIT.findall(word)) == 1:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() and word.isprintable() else word.translate(self.letters))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
         else:
-            out = b""
+            out = b"".join(map(self.__getitem__, parts))
         if len(out) <= 4 * KEPT_IDS:  # long strings are rare, and would fill the store
             self[word] = out
         return out
 
 
 def byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
+    """The usual characters as a byte-level alphabet writes their UTF-8: printable bytes stand for themselves, the others for code points from 256 on, in order."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+    names = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+    usual = [*range(256), *range(0x2010, 0x2028), *range(0x2030, 0x203F), 0x20AC]
+    return {c: "".join(names.get(b, chr(b)) for b in chr(c).encode()) for c in usual}
 
 
 class WordTokens:

@@ -16,7 +16,7 @@ from palimpsest.llm.training import labelled_sample
 FOLDS, HELD = 5, 0
 BITS = 18
 #: Words kept per Python worker, of at most so many characters; then the store starts anew.
-KEPT_WORDS, KEPT_CHARS = 250_000, 40
+KEPT_WORDS, KEPT_CHARS = 150_000, 40
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = ".,;:!?\"'()[]{}*#%&$-_ "
 
