@@ -34,6 +34,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_of(df: DataFrame) -> int:
+    """How many partitions a shuffle of ``df`` should have at least: as many as the session sets, and as many as its input, which grows with its bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df._jdf.queryExecution().toRdd().getNumPartitions())
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, lengthened until no column has it."""
     taken = {c.lower() for c in columns}

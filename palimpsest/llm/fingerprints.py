@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import partitions_of, slices
 
 #: Two 31-bit primes and bases: products fit in 64 bits, and both together make a 62-bit hash.
 MODULI = (2147483647, 2147483629)
@@ -146,10 +146,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    parts = docs._jdf.queryExecution().toRdd().getNumPartitions()  # grows with the input's bytes
-    ranges = 4 * min(1 << 14, max(4, parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = 4 * min(1 << 14, max(4, partitions_of(docs)))
     cuts = docs.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges)) or []
     cuts = np.array(sorted({int(x) for x in cuts}), dtype=np.int64)
     lowest = np.iinfo(np.int64).min

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, checkpoint, fresh, global_index, running_sum, slices, spread
+from palimpsest.llm.common import SPACE, checkpoint, fresh, global_index, partitions_of, running_sum, slices, spread
 
 WEIGHTS, EPOCHS, BUDGET, BLOCK = (5, 2, 1), 2, 1.5, 4096
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -193,7 +193,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     import pyarrow as pa
 
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     key, mark, nth, drawn_of, slot_of, at_of = (fresh(n, columns) for n in ("_id", "_hash", "_nth", "_drawn", "_slot", "_begin"))
     plan, _, slots = plan_of(docs)
     plan = plan.where("size > 0").select(F.col("doc_id").alias(key), F.col("hash").alias(mark), F.col("begin").alias(at_of), F.col("drawn").alias(drawn_of))
@@ -237,6 +237,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     rows = kept.mapInArrow(cut, f"{schema}, `{slot_of}` long, `{at_of}` long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_of(docs)
     place = F.least(F.lit(parts - 1), F.floor(F.col(slot_of) / F.lit(float(max(1, slots))) * parts)).cast("int")
     return rows.repartitionById(parts, place).sortWithinPartitions(slot_of, at_of).select(*cols)
