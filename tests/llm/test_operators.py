@@ -505,6 +505,59 @@ def test_quality_ranks_brute_force():
     assert np.allclose(got[quality.KINDS**2 :][:3], (4 / 5, 1 / 5, 3 / 3))
 
 
+def all_pairs(model, x, y):
+    """The gradient of the loss over all pairs, and the two scores that the share of poor rows lies between."""
+    z = (x - model.mean) / model.scale
+    s, good, poor = z @ model.w, z[y == 1], z[y == 0]
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    ranked = np.sort(s)
+    return -(p.sum(1) @ good - p.sum(0) @ poor) / p.size + model.decay * model.w, ranked[len(poor) - 1 : len(poor) + 1]
+
+
+def test_quality_learns_from_every_row(spark):
+    r = random.Random(19)
+
+    def make(i):
+        bad = i % 4 == 0
+        return ("".join(r.choice("ab !,.\n") for _ in range(r.randint(20, 40))) if bad != (i % 50 == 7) else prose(i, r.randint(3, 9))), int(not bad)
+
+    train, labels = labelled(spark, 6000, make)
+    more = [row(7, "each text of an id counts"), row(7, "x"), row(8, None), row(None, "no id"), row(9, "both labels")]
+    train, labels = train.unionAll(spark.createDataFrame(more, SCHEMA)).repartition(5), labels.unionAll(spark.createDataFrame([(9, 0, 0), (8, 0, 0)], labels.schema))
+    model = quality.fit_quality(train, labels)
+    rows = [(t, int(i % 4 != 0)) for i, t in train.select("doc_id", "text").collect() if i not in (None, 9) and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.features_of((t or "").encode()) for t, _ in rows]), np.array([y for _, y in rows])
+    assert (y == 1).sum() > 2500 and any(t is None for t, _ in rows)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-5) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3), rtol=1e-3)
+    slope, (below, above) = all_pairs(model, x, y)
+    assert np.abs(slope).max() < 1e-4 and abs(model.cut - (below + above) / 2) < 1e-4
+    again = quality.fit_quality(train.repartition(3), labels)
+    assert np.allclose(model.w, again.w, atol=1e-6) and abs(model.cut - again.cut) < 1e-6
+
+
+def test_quality_of_all_pairs_brute_force():
+    r = np.random.default_rng(20)
+    wild = r.standard_cauchy((3000, 6))  # scores in the hundreds
+    rare = r.normal(size=(3000, 6))
+    copies = np.repeat(r.normal(size=(6, 3)), 50, 0)
+    for x, y in ((wild, wild[:, 0] + wild[:, 1] > 1), (rare, rare[:, 0] > 2.5), (copies, np.arange(300) % 7 > 2)):
+        model, y = quality.BradleyTerry(), y.astype(int)
+        parts = [(x[i::7], y[i::7]) for i in range(7)]
+
+        def total(f, parts=parts):
+            found = [f(*part) for part in parts]
+            return quality.sums_by_key(np.concatenate([k for k, _ in found]), np.concatenate([s for _, s in found]))
+
+        model.learn(total)
+        slope, (below, above) = all_pairs(model, x, y)
+        assert np.abs(slope).max() < 1e-5
+        assert below - 1e-6 < model.cut < above + 1e-6 if above - below > 1e-6 else model.cut <= above
+        whole = quality.BradleyTerry().fit(x, y)
+        assert np.allclose(whole.w, model.w, atol=1e-5) and abs(whole.cut - model.cut) < 1e-4
+    alone = quality.BradleyTerry().fit(wild, np.zeros(3000, dtype=int))
+    assert (alone.probability(wild) < 0.5).all()
+
+
 def test_every_query_on_the_tables(spark):
     """Each opN_ query over the smallest tables; those with SQL against DuckDB."""
     con = duckdb.connect()
