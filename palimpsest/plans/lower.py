@@ -24,6 +24,14 @@ class Rel:
     hidden: dict[str, E] = field(default_factory=dict)
 
 
+@dataclass
+class Carried:
+    """Distinct rows of outer expressions, and how this query sees each."""
+
+    alias: str
+    seen: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Scope:
     """What a query's expressions can name. Of a SELECT also its FROM text, and what it carries from further out to its subqueries."""
@@ -31,7 +39,8 @@ class Scope:
     rels: list[Rel]
     parent: Scope | None = None
     source: str | None = None
-    carried: dict[str, tuple[str, str, str]] | None = None  # outer expression -> alias, its distinct values, how this query sees it
+    carried: dict[str, Carried] | None = None  # FROM text of a query further out -> what is carried of it
+    near: bool = False  # what the next query up has goes by the carried rows too
 
 
 @dataclass
@@ -231,16 +240,20 @@ class Lowering:
         if s.where is not None and has_aggregate(s.where):
             raise SqlError("Cannot use aggregate functions in WHERE")
         tests = [self.condition(s.where, scope, ctes)] if s.where is not None else []
+        if tests and scope.carried:  # once more: what the condition has of the same outer query comes in the same rows, so that these join by it
+            scope.near = True
+            tests = [self.condition(s.where, scope, ctes)]
+            scope.near = False
         group = [self.group_key(e, scope, ctes) for e in s.group or []]
         having = f" HAVING {fx.boolean(self.expr(s.having, scope, ctes))}" if s.having is not None else ""
         if grouped:
             self.check_grouping(s, scope)
         order = self.order_keys(s, q, columns, scope, ctes)
-        # a subquery sees one query up only: what is further out comes as distinct values, joined by equality
-        carried = list(scope.carried.values())
-        sources = [f"({values}) AS {a}(k_)" for a, values, _ in carried] + ([scope.source] if scope.source else [])
-        tests += [f"{a}.k_ <=> {seen}" for a, _, seen in carried]
-        group += [f"{a}.k_" for a, *_ in carried] if group else []
+        # a subquery sees one query up only: what is further out comes as distinct rows, joined by equality
+        carried = [(c.alias, source, list(c.seen.items())) for source, c in scope.carried.items()]
+        sources = [f"(SELECT DISTINCT {', '.join(f'{e} AS k{i}_' for i, (e, _) in enumerate(seen))} FROM {source}) AS {a}" for a, source, seen in carried] + ([scope.source] if scope.source else [])
+        tests += [f"{a}.k{i}_ <=> {x}" for a, _, seen in carried for i, (_, x) in enumerate(seen)]
+        group += [f"{a}.k{i}_" for a, _, seen in carried for i in range(len(seen))] if group else []
         sql = "SELECT " + "DISTINCT " * s.distinct + ", ".join(f"{fx.null_of(e.type) if e.type == 'null' else e.sql} AS {quote(n)}" for n, e in items)
         sql += f" FROM {' CROSS JOIN '.join(sources)}" if sources else ""
         sql += f" WHERE {' AND '.join(tests)}" if tests else ""
@@ -445,7 +458,8 @@ class Lowering:
         while scope is not None:
             found = self.within(path, scope)
             if found is not None:
-                return self.carry(found, between[1:], scope)
+                near = bool(between) and between[0].near and scope.source in between[0].carried
+                return self.carry(found, between if near else between[1:], scope)
             between.append(scope)
             scope = scope.parent
         return None
@@ -469,14 +483,16 @@ class Lowering:
         return None
 
     def carry(self, e: E, between: list[Scope], owner: Scope) -> E:
-        """``e`` of a query two or more levels up, by way of the queries between: each joins its distinct values on equality."""
+        """``e`` of a query two or more levels up, by way of the queries between: each joins its distinct rows on equality."""
         seen = e
         for scope in reversed(between):
             if scope.carried is None or not owner.source:
                 raise SqlError("Cannot correlate through this query to one further out")
-            if e.sql not in scope.carried:
-                scope.carried[e.sql] = (self.alias(), f"SELECT DISTINCT {e.sql} FROM {owner.source}", seen.sql)
-            seen = E(f"{scope.carried[e.sql][0]}.k_", e.type)
+            if owner.source not in scope.carried:
+                scope.carried[owner.source] = Carried(self.alias())
+            c = scope.carried[owner.source]
+            c.seen.setdefault(e.sql, seen.sql)
+            seen = E(f"{c.alias}.k{list(c.seen).index(e.sql)}_", e.type)
         return seen
 
     def steps(self, e: E, path: list[str]) -> E:
