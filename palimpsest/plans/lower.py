@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 from itertools import count
 
 from palimpsest.dialect.lexer import SqlError
@@ -13,6 +14,8 @@ from palimpsest.plans.types import NUMERIC, E, ddl, quote, text, unify
 
 AGGREGATES = {"COUNT": (1, 1), "SUM": (1, 1), "TOTAL": (1, 1), "AVG": (1, 1), "MIN": (1, 1), "MAX": (1, 1), "GROUP_CONCAT": (1, 2), "ARRAY_AGG": (1, 1), "OBJECT_AGG": (2, 2)}
 TABLE_FUNCTIONS = ("UNNEST", "GENERATE_SERIES")
+#: Of a join of periods: the parts of either side where each part meets each, those of the pairs where keys meet, and into how many each partition's rows of one period are split.
+GRID, PAIRED, SPLIT = 16, 96, 8
 
 
 @dataclass
@@ -233,7 +236,9 @@ class Lowering:
 
     def select(self, s: Select, outer, ctes, q: Query) -> Lowered:
         scope = Scope([], outer, carried={})
-        scope.source = self.sources(s.sources, scope, ctes)
+        s = unjoined(s)
+        parts = self.sources(s.sources, scope, ctes)
+        scope.source = " CROSS JOIN ".join(parts)
         items = self.items(s, scope, ctes)
         grouped = s.group is not None or s.having is not None or any(has_aggregate(e) for e, _ in s.items if e[0] != "star") or any(has_aggregate(e) for e, _ in q.order)
         columns = [(n, e.type) for n, e in items]
@@ -249,9 +254,12 @@ class Lowering:
         if grouped:
             self.check_grouping(s, scope)
         order = self.order_keys(s, q, columns, scope, ctes)
+        source = scope.source
+        if s.where is not None and len(parts) == 2 and (met := self.period_join(s, parts, scope, ctes, " ".join([*(e.sql for _, e in items), *group, having, order]))):
+            source, tests = met
         # a subquery sees one query up only: what is further out comes as distinct rows, joined by equality
-        carried = [(c.alias, source, list(c.seen.items())) for source, c in scope.carried.items()]
-        sources = [f"(SELECT DISTINCT {', '.join(f'{e} AS k{i}_' for i, (e, _) in enumerate(seen))} FROM {source}) AS {a}" for a, source, seen in carried] + ([scope.source] if scope.source else [])
+        carried = [(c.alias, values, list(c.seen.items())) for values, c in scope.carried.items()]
+        sources = [f"(SELECT DISTINCT {', '.join(f'{e} AS k{i}_' for i, (e, _) in enumerate(seen))} FROM {values}) AS {a}" for a, values, seen in carried] + ([source] if source else [])
         tests += [f"{a}.k{i}_ <=> {x}" for a, _, seen in carried for i, (_, x) in enumerate(seen)]
         group += [f"{a}.k{i}_" for a, _, seen in carried for i in range(len(seen))] if group else []
         sql = "SELECT " + "DISTINCT " * s.distinct + ", ".join(f"{fx.null_of(e.type) if e.type == 'null' else e.sql} AS {quote(n)}" for n, e in items)
@@ -260,6 +268,57 @@ class Lowering:
         sql += f" GROUP BY {', '.join(group)}" if group else ""
         return Lowered(sql + having + order, columns)
 
+    def period_join(self, s: Select, parts: list[str], scope: Scope, ctes, rest: str) -> tuple[str, list[str]] | None:
+        """FROM text and conditions of a join of two sources by one predicate on periods; None for any other query.
+
+        The bounds are computed once a row. Rows with the same bounds are gathered, few enough at a time, and meet as a whole; each pair
+        is then written out in place, so that the work is that of the rows returned and lies in even shares on all tasks.
+        """
+        if scope.parent or scope.carried or any(x.kind not in ("table", "query") or x.lateral for x in s.sources) or not all(r.columns for r in scope.rels):
+            return None
+        names = [re.match(r"q\d+_(?=\.)", r.columns[0][1].sql)[0] for r in scope.rels]
+        kind, pair, own, tests = None, [], {n: [] for n in names}, []
+        for e in conjuncts(s.where):
+            if e[0] == "func" and e[1] in fx.PERIODS and kind is None:
+                pair = [self.expr(x, scope, ctes) for x in e[2]]
+                if any(x.type == "null" or unmoved(x.sql) for x in pair) or sorted(map(of, (x.sql for x in pair))) != sorted(map(of, (f"{n}." for n in names))):
+                    return None
+                kind = e[1]
+                continue
+            sql = self.condition(e, scope, ctes)
+            if unmoved(sql) or of(sql) not in ([], *([n] for n in names)):
+                return None
+            (own[of(sql)[0]] if of(sql) else tests).append(sql)
+        if kind is None or unmoved(rest):
+            return None
+        rest = " ".join([rest, *tests])
+        used = {n: [(e.sql, e.type) for _, e in r.columns if e.sql in rest] for n, r in zip(names, scope.rels, strict=True)}
+        for sql, _ in (c for cols in used.values() for c in cols):
+            rest = rest.replace(sql, "")
+        if of(rest):  # hidden columns
+            return None
+        bounds = fx.period_bounds(kind, *pair)
+        keyed = all(op == "=" for _, op, _ in bounds)
+        sides = {}
+        for side, x in enumerate(pair):
+            n = of(x.sql)[0]
+            keys = [b[2 * side] for b in bounds]
+            fields = ", ".join(f"'u{i}', {sql}" for i, (sql, _) in enumerate(used[n])) or "'u0', true"
+            plain = [sql for sql, t in used[n] if isinstance(t, str) and t not in ("null", "time")]
+            inner = ", ".join([*(f"{k} AS k{i}_" for i, k in enumerate(keys)), f"named_struct({fields}) AS row_", "spark_partition_id() AS p_", f"pmod(xxhash64({', '.join(plain)}), {SPLIT}) AS h_" if plain else "0 AS h_"])
+            tested = f" WHERE {' AND '.join(own[n])}" if own[n] else ""
+            held = ", ".join(f"k{i}_" for i in range(len(keys)))
+            gathered = f"SELECT {held}, collect_list(row_) AS rows_ FROM (SELECT {inner} FROM {parts[names.index(n)]}{tested}) GROUP BY {held}, p_, h_"
+            sides[n] = gathered if keyed else f"SELECT /*+ REPARTITION({GRID}) */ * FROM ({gathered})"
+        left, right = sides
+        on = " AND ".join(f"{left}.k{i}_ {op} {right}.k{i}_" for i, (_, op, _) in enumerate(bounds))
+        hint = f"REPARTITION({PAIRED})" if keyed else f"SHUFFLE_REPLICATE_NL({left})"
+        a = self.alias()
+        source = f"(SELECT /*+ {hint} */ {left}.rows_ AS l_, {right}.rows_ AS r_ FROM ({sides[left]}) AS {left} JOIN ({sides[right]}) AS {right} ON {on}) AS {a}"
+        for n, rows in ((left, "l_"), (right, "r_")):
+            source += f" LATERAL VIEW inline({a}.{rows}) {n} AS {', '.join(sql.removeprefix(f'{n}.') for sql, _ in used[n]) or 'u0_'}"
+        return source, tests
+
     def order_keys(self, s: Select, q: Query, columns, scope: Scope, ctes) -> str:
         keys = []
         for e, down in q.order:
@@ -327,12 +386,8 @@ class Lowering:
 
     # -- FROM
 
-    def sources(self, sources: list[Source], scope: Scope, ctes) -> str:
-        out = ""
-        for s in sources:
-            sql = self.source(s, scope, ctes, first=not out)
-            out = f"{out} CROSS JOIN {sql}" if out else sql
-        return out
+    def sources(self, sources: list[Source], scope: Scope, ctes) -> list[str]:
+        return [self.source(s, scope, ctes, first=not i) for i, s in enumerate(sources)]
 
     def source(self, s: Source, scope: Scope, ctes, first: bool = False) -> str:
         if s.kind == "join":
@@ -776,6 +831,30 @@ class Lowering:
         return E(f"transform(array_sort({gather}(named_struct({fields})){where}, (a_, b_) -> CASE{steps} ELSE 0 END), s_ -> s_.x)", ("array", t))
 
 
+def of(sql: str) -> list[str]:
+    """The aliases of sources that lowered text names; too many rather than too few."""
+    return sorted(set(re.findall(r"\bq\d+_(?=\.)", sql)))
+
+
+def unmoved(sql: str) -> bool:
+    """Whether text holds a subquery or random values, which stay where they are."""
+    return re.search(r"SELECT|\brand\(|\buuid\(", sql) is not None
+
+
+def conjuncts(e) -> list:
+    if e[0] == "group":
+        return conjuncts(e[1])
+    return conjuncts(e[1]) + conjuncts(e[2]) if e[0] == "and" else [e]
+
+
+def unjoined(s: Select) -> Select:
+    """A query of one inner join ON a predicate on periods, as one of two sources and a condition."""
+    j = s.sources[0] if len(s.sources) == 1 else None
+    if j is None or j.kind != "join" or j.how != "inner" or j.using or j.on is None or not any(e[0] == "func" and e[1] in fx.PERIODS for e in conjuncts(j.on)):
+        return s
+    return replace(s, sources=[j.left, j.right], where=j.on if s.where is None else ("and", j.on, s.where))
+
+
 def strip(e):
     """An expression without source offsets and brackets."""
     if isinstance(e, list):

@@ -1,7 +1,10 @@
 """Plans that grow with the input and with the rows they return, and their results on odd rows."""
 
+import datetime as dt
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import queries
 from palimpsest.session import Session
@@ -50,3 +53,39 @@ def test_correlation_through_queries(spark, where):
 def test_correlation_through_queries_joins_by_keys(spark):
     plan = physical(queries.QUERIES["corr_skip_level"](spark, SF))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+DAYS = [f"2024-01-{d:02}" for d in range(1, 8)]
+SPANS = {
+    "p": ("k bigint, g string, s date, e date", [(i, "xyz"[i % 3] if i % 7 else None, dt.date.fromisoformat(DAYS[i % 4]) if i % 11 else None, dt.date.fromisoformat(DAYS[i % 4 + 1 + i % 3]) if i % 13 else None) for i in range(60)]),
+    "r": ("k bigint, s timestamp, e timestamp", [(i, dt.datetime.fromisoformat(DAYS[i % 5]), dt.datetime.fromisoformat(DAYS[i % 5 + i % 3])) for i in range(40)] + [(40, None, None)]),
+    "none": ("k bigint, s date, e date", []),
+}
+
+
+@pytest.mark.parametrize(("name", "word", "test"), queries.PERIODS)
+def test_joins_of_periods(spark, name, word, test):
+    assert alike(spark, SPANS, f"SELECT a.k, b.k, a.g FROM p AS a, p AS b WHERE PERIOD(a.s, a.e) {word} PERIOD(b.s, b.e)", f"SELECT a.k, b.k, a.g FROM p AS a, p AS b WHERE {test}")
+    assert alike(spark, SPANS, f"SELECT p.g, COUNT(*) FROM p JOIN r ON [r.s, r.e] {word} [p.s, p.e] AND p.k > 3 WHERE r.k < 39 GROUP BY p.g", f"SELECT p.g, COUNT(*) FROM p JOIN r ON {test.replace('a.', 'r.').replace('b.', 'p.')} AND p.k > 3 WHERE r.k < 39 GROUP BY p.g")
+    assert alike(spark, SPANS, f"SELECT COUNT(*) FROM r, none WHERE {{start: r.s, end: r.e}} {word} PERIOD(none.s, none.e)", "SELECT 0")
+    assert alike(spark, SPANS, f"SELECT DISTINCT a.k FROM p AS a, r AS b WHERE a.k = b.k AND a.g = 'x' AND PERIOD(a.s, a.e) {word} PERIOD(b.s, b.e)", f"SELECT DISTINCT a.k FROM p AS a, r AS b WHERE a.k = b.k AND a.g = 'x' AND {test}") is not None
+    assert alike(spark, SPANS, f"SELECT * FROM (SELECT k, PERIOD(s, e) AS w FROM p) AS a, (SELECT k AS j, s AS at FROM r) AS b WHERE a.w {word} b.at ORDER BY a.k LIMIT 0", "SELECT 1 LIMIT 0") == []
+
+
+def test_instants_in_periods(spark):
+    assert alike(spark, SPANS, "SELECT a.k, b.k FROM p AS a, r AS b WHERE PERIOD(a.s, a.e) CONTAINS b.s", "SELECT a.k, b.k FROM p AS a, r AS b WHERE a.s <= b.s AND a.e > b.s")
+    assert alike(spark, SPANS, "SELECT a.k, b.k FROM p AS a, r AS b WHERE a.s PRECEDES PERIOD(b.s, b.e) AND EXISTS (SELECT 1 FROM p AS c WHERE c.k = b.k)", "SELECT a.k, b.k FROM p AS a, r AS b WHERE a.s <= b.s AND EXISTS (SELECT 1 FROM p AS c WHERE c.k = b.k)")
+
+
+@pytest.mark.parametrize("name", ["period_overlaps"])
+def test_joins_of_periods_lie_in_even_shares(spark, tmp_path, name):
+    spark.range(2000).select((F.col("id") * 36).alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/same/supplier.parquet")
+    spark.range(2000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/mixed/supplier.parquet")
+    for folder in ("same", "mixed"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/{folder}/supplier.parquet/*.parquet'")
+        want = con.execute(f"SELECT COUNT(*), SUM(x * 7 + y) FROM ({queries.ORACLES[name]})").fetchone()
+        df = queries.QUERIES[name](spark, f"{tmp_path}/{folder}")
+        shares = df.groupBy(F.spark_partition_id().alias("i")).agg(F.count("*").alias("n"), F.sum(F.expr("x * 7 + y")).alias("s")).collect()
+        assert (sum(r.n for r in shares), sum(r.s for r in shares) if shares else None) == want
+        assert not shares or max(r.n for r in shares) < want[0] / 8
