@@ -77,7 +77,7 @@ def test_instants_in_periods(spark):
     assert alike(spark, SPANS, "SELECT a.k, b.k FROM p AS a, r AS b WHERE a.s PRECEDES PERIOD(b.s, b.e) AND EXISTS (SELECT 1 FROM p AS c WHERE c.k = b.k)", "SELECT a.k, b.k FROM p AS a, r AS b WHERE a.s <= b.s AND EXISTS (SELECT 1 FROM p AS c WHERE c.k = b.k)")
 
 
-@pytest.mark.parametrize("name", ["period_overlaps", "period_contains", "period_succeeds", "period_precedes", "period_immediately_succeeds"])
+@pytest.mark.parametrize("name", ["period_overlaps", "period_contains", "period_succeeds", "period_precedes", "period_immediately_succeeds", "period_immediately_precedes"])
 def test_joins_of_periods_lie_in_even_shares(spark, tmp_path, name):
     spark.range(2000).select((F.col("id") * 36).alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/same/supplier.parquet")
     spark.range(2000).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/mixed/supplier.parquet")
