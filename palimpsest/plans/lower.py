@@ -10,7 +10,7 @@ from itertools import count
 from palimpsest.dialect.lexer import SqlError
 from palimpsest.dialect.parser import Cte, Query, Select, Source
 from palimpsest.functions import scalar as fx
-from palimpsest.plans.types import NUMERIC, E, ddl, quote, text, unify
+from palimpsest.plans.types import NUMERIC, TEMPORAL, E, ddl, quote, text, unify
 
 AGGREGATES = {"COUNT": (1, 1), "SUM": (1, 1), "TOTAL": (1, 1), "AVG": (1, 1), "MIN": (1, 1), "MAX": (1, 1), "GROUP_CONCAT": (1, 2), "ARRAY_AGG": (1, 1), "OBJECT_AGG": (2, 2)}
 TABLE_FUNCTIONS = ("UNNEST", "GENERATE_SERIES")
@@ -43,6 +43,7 @@ class Scope:
     parent: Scope | None = None
     source: str | None = None
     carried: dict[str, Carried] | None = None  # FROM text of a query further out -> what is carried of it
+    joining: bool = False  # an ON condition is lowered, which takes no correlated aggregates
     near: bool = False  # what the next query up has goes by the carried rows too
 
 
@@ -401,7 +402,9 @@ class Lowering:
             if s.using:
                 on = " AND ".join(self.using(scope.rels[before:middle], scope.rels[middle:], c) for c in s.using)
             elif s.on is not None:
+                scope.joining = True
                 on = self.condition(s.on, scope, ctes)
+                scope.joining = False
             if s.how == "cross" or on is None and s.how == "inner":
                 return f"{left} CROSS JOIN {right}" + (f" ON {on}" if on else "")
             return f"{left} {'LEFT' if s.how == 'left' else 'INNER'} JOIN {right} ON {on or 'true'}"
@@ -670,12 +673,21 @@ class Lowering:
         t = low.columns[0][1]
         if where and (x.type == t or x.type in NUMERIC and t in NUMERIC):
             return E(f"({x.sql} {'NOT ' * e[3]}IN ({low.sql}))", "boolean")
-        out = self.any_of("=", x, low)
+        out = self.any_of("=", x, low, scope)
         return E(f"(NOT {out})" if e[3] else out, "boolean")
 
-    def any_of(self, op: str, x: E, low: Lowered) -> str:
-        a = self.alias()
-        c = E(f"{a}.c_", low.columns[0][1])
+    def any_of(self, op: str, x: E, low: Lowered, scope: Scope) -> str:
+        """Whether ``x`` compares to any value of a query, in three values. Simple types go by the least and greatest value and by counts, so that no row meets all values."""
+        a, t = self.alias(), low.columns[0][1]
+        if not scope.joining and any(x.type in kinds and t in kinds for kinds in (NUMERIC, TEMPORAL, ("text",))):
+            values = f"FROM ({low.sql}) AS {a}(c_)"
+            least, most = (E(f"(SELECT {f}({a}.c_) {values})", t) for f in ("min", "max"))
+            arms = [fx.compare(op, x, e).sql for e in {"=": [], "<>": [least, most], "<": [most], "<=": [most], ">": [least], ">=": [least]}[op]]
+            if op == "=":
+                arms = [f"EXISTS (SELECT 1 {values} WHERE {fx.compare(op, x, E(f'{a}.c_', t)).sql})"]
+            nulls = f"coalesce((SELECT CASE WHEN count(1) = 0 THEN 0 WHEN count({a}.c_) = count(1) THEN 1 ELSE 2 END {values}), 0)"
+            return f"CASE {' '.join(f'WHEN {y} THEN true' for y in arms)} WHEN {nulls} > CASE WHEN {x.sql} IS NULL THEN 0 ELSE 1 END THEN CAST(NULL AS BOOLEAN) ELSE false END"
+        c = E(f"{a}.c_", t)
         test = fx.compare(op, x, c).sql
         inner = f"SELECT 1 FROM ({low.sql}) AS {a}(c_) WHERE"
         return f"CASE WHEN EXISTS ({inner} {test}) THEN true WHEN EXISTS ({inner} ({test}) IS NULL) THEN CAST(NULL AS BOOLEAN) ELSE false END"
@@ -685,9 +697,9 @@ class Lowering:
         x = self.expr(left, scope, ctes)
         low = self.single(q, scope, ctes, f"{kind.upper()} query")
         if kind == "any":
-            return E(f"({self.any_of(op, x, low)})", "boolean")
+            return E(f"({self.any_of(op, x, low, scope)})", "boolean")
         inverse = {"=": "<>", "<>": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}[op]
-        return E(f"(NOT ({self.any_of(inverse, x, low)}))", "boolean")
+        return E(f"(NOT ({self.any_of(inverse, x, low, scope)}))", "boolean")
 
     def e_exists(self, e, scope, ctes, where) -> E:
         return E(f"EXISTS ({self.query(e[1], scope, ctes).sql})", "boolean")

@@ -89,3 +89,32 @@ def test_joins_of_periods_lie_in_even_shares(spark, tmp_path, name):
         shares = df.groupBy(F.spark_partition_id().alias("i")).agg(F.count("*").alias("n"), F.sum(F.expr("x * 7 + y")).alias("s")).collect()
         assert (sum(r.n for r in shares), sum(r.s for r in shares) if shares else None) == want
         assert not shares or max(r.n for r in shares) < want[0] / 8
+
+
+SETS = {
+    "a": ("k bigint, x double", [(1, 1.0), (1, None), (2, 5.0), (3, 2.0), (None, 2.0), (4, 0.0), (5, 7.0)]),
+    "b": ("k bigint, y bigint", [(1, 1), (1, 3), (2, None), (2, 5), (3, 2), (3, 2), (4, None), (None, 0)]),
+}
+
+
+@pytest.mark.parametrize("op", ["=", "<>", "<", "<=", ">", ">="])
+def test_quantified(spark, op):
+    for kind in ("ANY", "ALL"):
+        for query in ("SELECT b.y FROM b WHERE b.k = a.k", "SELECT b.y FROM b", "SELECT b.y FROM b WHERE b.y IS NOT NULL", "SELECT b.y FROM b WHERE b.k > 90", "SELECT MAX(b.y) FROM b WHERE b.k = a.k GROUP BY b.k", "SELECT b.y FROM b WHERE b.k < a.k", "SELECT b.y FROM b WHERE b.k = a.k UNION ALL SELECT 2"):
+            assert alike(spark, SETS, f"SELECT a.k, a.x, a.x {op} {kind} ({query}) AS r FROM a")
+        alike(spark, SETS, f"SELECT a.k FROM a WHERE NOT a.x {op} {kind} (SELECT b.y FROM b WHERE b.k = a.k)")
+        alike(spark, SETS, f"SELECT c.k, COUNT(*) FROM a AS c JOIN a ON a.x {op} {kind} (SELECT b.y FROM b WHERE b.k = a.k) GROUP BY c.k")
+        alike(spark, SETS, f"SELECT SUM(CASE WHEN a.x {op} {kind} (SELECT b.y FROM b WHERE b.k = a.k) THEN 1 ELSE 0 END) FROM a")
+
+
+def test_in_queries_as_values(spark):
+    for query in ("SELECT b.y FROM b WHERE b.k = a.k", "SELECT b.y FROM b", "SELECT b.y FROM b WHERE b.y IS NOT NULL"):
+        for word in ("IN", "NOT IN"):
+            assert alike(spark, SETS, f"SELECT a.k, a.x, a.x {word} ({query}) AS r FROM a")
+    assert "NestedLoop" not in physical(queries.QUERIES["in_subquery_null"](spark, SF))
+
+
+def test_quantified_values_meet_no_rows(spark):
+    """Each supplier meets one row of its nation, not all customers of it."""
+    plan = physical(queries.QUERIES["quant_any"](spark, SF))
+    assert "ExistenceJoin" not in plan and "min(c_" in plan
